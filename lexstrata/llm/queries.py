@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexstrata.llm.exact_dedup import exact_dedup
+from lexstrata.llm.license_scan import PHRASES, TEMPLATES, license_scan, words_of
 from lexstrata.llm.line_dedup import line_dedup
+from lexstrata.llm.url_filter import HOST_RULES, PATTERN_RULES, compile_pattern, filter_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,14 +57,78 @@ FROM kept
 """
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's URL."""
+    return filter_urls(_table(spark, sf_dir, "pages"))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _op9_sql() -> str:
+    hosts = ", ".join(f"({_quoted(r)}, {_quoted(v)}, {_quoted(r.partition('/')[0])}, {_quoted('/' + r.partition('/')[2])})" for v, r in HOST_RULES)
+    patterns = ", ".join(f"({i}, {_quoted(p)}, {_quoted(compile_pattern(p).regex)})" for i, p in enumerate(PATTERN_RULES))
+    return rf"""
+WITH hosts(rule, verdict, host, prefix) AS (VALUES {hosts}),
+patterns(no, pattern, regex) AS (VALUES {patterns}),
+p AS (
+  SELECT page_id, coalesce(url, '') AS u, row_number() OVER () AS r,
+         translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+fit AS (
+  SELECT r, arg_max(hosts.rule, length(hosts.rule)) AS rule, arg_max(hosts.verdict, length(hosts.rule)) AS verdict
+  FROM p JOIN hosts ON (p.host = hosts.host OR ends_with(p.host, '.' || hosts.host)) AND starts_with(p.path, prefix) GROUP BY r),
+hit AS (SELECT r, arg_min(pattern, no) AS pattern FROM p JOIN patterns ON regexp_matches(lower(u), regex) GROUP BY r)
+SELECT page_id, host, path, fit.rule, coalesce(fit.verdict, CASE WHEN pattern IS NULL THEN 'allow' ELSE 'block' END) AS verdict, pattern
+FROM p LEFT JOIN fit USING (r) LEFT JOIN hit USING (r)
+"""
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and template matches of every document."""
+    return license_scan(_table(spark, sf_dir, "documents")).drop("blocks")
+
+
+def _op10_sql() -> str:
+    base = " UNION ALL ".join(
+        f"SELECT r, i - 1 AS i, {_quoted(label)} AS label FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE "
+        + " AND ".join(f"w[i + {k}] = {_quoted(x)}" for k, x in enumerate(phrase.split()))
+        for phrase, label in PHRASES.items()
+    )
+    words = ", ".join(f"({no}, {_quoted(label)}, {_quoted(w.decode())})" for no, (label, text) in enumerate(TEMPLATES) for w in sorted(set(words_of(text))))
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({lower}, '{word}') AS w, string_split({lower}, E'\n') AS lines FROM documents),
+base AS ({base}),
+b AS (SELECT r, count(*) AS n, min(i) AS lo, max(i) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY r),
+t(no, label, word) AS (VALUES {words}),
+size AS (SELECT no, label, count(*) AS n FROM t GROUP BY 1, 2),
+l AS (SELECT r, unnest(range(len(lines))) AS line, unnest(lines) AS txt FROM d),
+lw AS (SELECT DISTINCT r, line, unnest(regexp_extract_all(txt, '{word}')) AS word FROM l),
+met AS (
+  SELECT r, line, no, size.label, count(*) * 1.0::DOUBLE / any_value(size.n) AS share
+  FROM lw JOIN t USING (word) JOIN size USING (no) GROUP BY r, line, no, size.label HAVING count(*) * 10 >= any_value(size.n) * 8),
+m AS (SELECT r, max(share) AS share FROM met GROUP BY r),
+every AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM met UNION ALL SELECT r, label FROM base) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.lo::BIGINT AS first_word, b.hi::BIGINT AS last_word, coalesce(b.labels, '') AS base_labels,
+       coalesce(every.labels, '') AS labels, CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce(m.share, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN b USING (r) LEFT JOIN m USING (r) LEFT JOIN every USING (r)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The ten queries by name."""
     return {
         "op2_exact_dedup": op2_exact_dedup,
         "op5_line_dedup": op5_line_dedup,
+        "op9_url_filter": op9_url_filter,
+        "op10_license_scan": op10_license_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of those that SQL can express."""
-    return {"op2_exact_dedup": OP2_SQL, "op5_line_dedup": OP5_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op5_line_dedup": OP5_SQL, "op9_url_filter": _op9_sql(), "op10_license_scan": _op10_sql()}
