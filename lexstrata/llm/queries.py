@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexstrata.llm.exact_dedup import exact_dedup
+from lexstrata.llm.language_id import held_out, identify, learn
 from lexstrata.llm.license_scan import PHRASES, TEMPLATES, license_scan, words_of
 from lexstrata.llm.line_dedup import line_dedup
+from lexstrata.llm.packing import pack_documents
 from lexstrata.llm.url_filter import HOST_RULES, PATTERN_RULES, compile_pattern, filter_urls
 
 
@@ -32,6 +34,13 @@ FROM documents
 """
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the documents that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    out = identify(docs, learn(docs), keep=("doc_id",))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boilerplate lines of each source taken out of its documents."""
     out = line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
@@ -57,6 +66,19 @@ FROM kept
 """
 
 
+def tokenizer() -> tuple[str, str]:
+    """Rank file and splitting pattern of the public byte-level BPE; the same vocabulary as ``byte_bpe_50k.json``."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 1024 tokens."""
+    packed = pack_documents(_table(spark, sf_dir, "documents"), *tokenizer())
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict for every page's URL."""
     return filter_urls(_table(spark, sf_dir, "pages"))
@@ -123,7 +145,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The ten queries by name."""
     return {
         "op2_exact_dedup": op2_exact_dedup,
+        "op4_language_id": op4_language_id,
         "op5_line_dedup": op5_line_dedup,
+        "op8_packing": op8_packing,
         "op9_url_filter": op9_url_filter,
         "op10_license_scan": op10_license_scan,
     }
