@@ -11,6 +11,7 @@ from lexstrata.llm.exact_dedup import exact_dedup
 from lexstrata.llm.language_id import held_out, identify, learn
 from lexstrata.llm.license_scan import PHRASES, TEMPLATES, license_scan, words_of
 from lexstrata.llm.line_dedup import line_dedup
+from lexstrata.llm.near_dedup import near_dedup
 from lexstrata.llm.packing import pack_documents
 from lexstrata.llm.url_filter import HOST_RULES, PATTERN_RULES, compile_pattern, filter_urls
 
@@ -66,6 +67,11 @@ FROM kept
 """
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies of whole documents."""
+    return near_dedup(_table(spark, sf_dir, "documents"))
+
+
 def tokenizer() -> tuple[str, str]:
     """Rank file and splitting pattern of the public byte-level BPE; the same vocabulary as ``byte_bpe_50k.json``."""
     import public_tokenizers
@@ -147,6 +153,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": op2_exact_dedup,
         "op4_language_id": op4_language_id,
         "op5_line_dedup": op5_line_dedup,
+        "op6_near_dedup": op6_near_dedup,
         "op8_packing": op8_packing,
         "op9_url_filter": op9_url_filter,
         "op10_license_scan": op10_license_scan,
