@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexstrata.llm.decontaminate import contaminated
 from lexstrata.llm.exact_dedup import exact_dedup
 from lexstrata.llm.language_id import held_out, identify, learn
 from lexstrata.llm.license_scan import PHRASES, TEMPLATES, license_scan, words_of
@@ -35,6 +36,11 @@ FROM documents
 """
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents."""
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from the documents that are not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -151,6 +157,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The ten queries by name."""
     return {
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_decontamination": op3_decontamination,
         "op4_language_id": op4_language_id,
         "op5_line_dedup": op5_line_dedup,
         "op6_near_dedup": op6_near_dedup,
