@@ -14,6 +14,7 @@ from lexstrata.llm.license_scan import PHRASES, TEMPLATES, license_scan, words_o
 from lexstrata.llm.line_dedup import line_dedup
 from lexstrata.llm.near_dedup import near_dedup
 from lexstrata.llm.packing import pack_documents
+from lexstrata.llm.quality import quality
 from lexstrata.llm.url_filter import HOST_RULES, PATTERN_RULES, compile_pattern, filter_urls
 
 
@@ -21,6 +22,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under a model of the documents labelled good and not toxic."""
+    trusted = _table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
+    return quality(_table(spark, sf_dir, "documents"), trusted)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies of whole documents."""
     return exact_dedup(_table(spark, sf_dir, "documents"))
@@ -156,6 +163,7 @@ FROM d LEFT JOIN b USING (r) LEFT JOIN m USING (r) LEFT JOIN every USING (r)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The ten queries by name."""
     return {
+        "op1_quality": op1_quality,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_decontamination": op3_decontamination,
         "op4_language_id": op4_language_id,
