@@ -2,7 +2,7 @@
 
 Part of the subpackage ``lexstrata.llm``. Each stage takes ``(spark, docs, sf_dir)``
 and returns a DataFrame that is written as Parquet and read again as the next
-stage's ``docs``.
+stage's ``docs``; all but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
@@ -10,19 +10,65 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexstrata.llm.common import maybe_broadcast, written
+from lexstrata.llm.decontaminate import contaminated
+from lexstrata.llm.language_id import UNKNOWN, identify, learn
 from lexstrata.llm.line_dedup import line_dedup
-from lexstrata.llm.common import written
+from lexstrata.llm.near_dedup import near_dedup
+from lexstrata.llm.packing import pack_documents
+from lexstrata.llm.queries import tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A text whose profile shares so little with every language's is no prose of any.
+LEAST_SCORE = 0.2
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows of these ids; a null id is an id like others."""
+    gone = written(ids.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    side = maybe_broadcast(gone, gone.count())
+    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents of no known language: without a letter, or far from every profile."""
+    found = identify(docs, learn(docs), keep=COLUMNS, lang_name="__lang", score_name="__score")
+    return found.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each source's boilerplate lines out of the texts; every document stays."""
-    out = line_dedup(docs, report=None)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return line_dedup(docs, report=None).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each component of near copies; of rows that repeat an id, one."""
+    found = near_dedup(docs)
+    out = without(docs, found.filter("NOT kept")).select(*COLUMNS)
+    again = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if not again.limit(1).count():
+        return out
+    return out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id IS NULL"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item."""
+    return without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences of 1024 tokens."""
+    packed = pack_documents(docs, *tokenizer())
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
-STAGES = [("line_dedup", drop_lines)]
+STAGES = [
+    ("language_id", keep_languages),
+    ("line_dedup", drop_lines),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
 
 #: Tokenising and the approximate index have no SQL form; tests compare with a brute-force version.
 ORACLE_SQL = None

@@ -16,6 +16,7 @@ from lexstrata.llm.near_dedup import near_dedup
 from lexstrata.llm.packing import pack_documents
 from lexstrata.llm.quality import quality
 from lexstrata.llm.url_filter import HOST_RULES, PATTERN_RULES, compile_pattern, filter_urls
+from lexstrata.llm.warc import derivatives, responses_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -160,6 +161,11 @@ FROM d LEFT JOIN b USING (r) LEFT JOIN m USING (r) LEFT JOIN every USING (r)
 """
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page."""
+    return derivatives(responses_of(_table(spark, sf_dir, "pages")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The ten queries by name."""
     return {
@@ -169,6 +175,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_line_dedup": op5_line_dedup,
         "op6_near_dedup": op6_near_dedup,
+        "op7_warc": op7_warc,
         "op8_packing": op8_packing,
         "op9_url_filter": op9_url_filter,
         "op10_license_scan": op10_license_scan,
