@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexstrata.plans import trends
+from lexstrata.plans import searching, trends
 from lexstrata.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = (trends,)
+MODULES = (searching, trends)
 
 
 def queries() -> dict[str, Query]:

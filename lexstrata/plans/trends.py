@@ -174,11 +174,11 @@ def docs_stream_catalogue(spark, sf_dir):
 
 
 @query("docs_tone_series", f"""{_TONE_SQL}
-SELECT source || '|' || lang || '|all' AS stream, CAST(date_trunc('month', date) AS DATE) AS period, count(*) AS n, round(avg(hostility), 7) AS hostility, round(avg(esc), 7) AS esc
+SELECT source || '|' || lang || '|all' AS stream, CAST(date_trunc('month', date) AS DATE) AS period, count(*) AS n, round(avg(hostility), 10) AS hostility, round(avg(esc), 10) AS esc
 FROM docs JOIN tone USING (doc_id) WHERE sample IS NULL GROUP BY 1, 2""")
 def docs_tone_series(spark, sf_dir):
     s = S.stream_series(doc_frame(spark, sf_dir), ["stream"], "month", ["hostility", "esc"])
-    return s.groupBy("stream", "period").agg(F.max("n").alias("n"), F.round(F.max(F.when(F.col("metric") == "hostility", F.col("mean"))), 7).alias("hostility"), F.round(F.max(F.when(F.col("metric") == "esc", F.col("mean"))), 7).alias("esc"))
+    return s.groupBy("stream", "period").agg(F.max("n").alias("n"), F.round(F.max(F.when(F.col("metric") == "hostility", F.col("mean"))), 10).alias("hostility"), F.round(F.max(F.when(F.col("metric") == "esc", F.col("mean"))), 10).alias("esc"))
 
 
 @query("docs_coverage_by_country", f"""{_TONE_SQL}
