@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexstrata.plans import searching, trends
+from lexstrata.plans import searching, trends, vectors
 from lexstrata.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = (searching, trends)
+MODULES = (searching, trends, vectors)
 
 
 def queries() -> dict[str, Query]:
