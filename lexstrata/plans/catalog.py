@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexstrata.plans import corpus, searching, trends, vectors
+from lexstrata.plans import corpus, feeds, searching, trends, vectors
 from lexstrata.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = (corpus, searching, trends, vectors)
+MODULES = (corpus, feeds, searching, trends, vectors)
 
 
 def queries() -> dict[str, Query]:
