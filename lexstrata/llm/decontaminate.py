@@ -55,15 +55,19 @@ def simhash(hashes: Column) -> Column:
     Bit b is set if more than half of the hashes have it; up to 2^20 hashes.
     """
     n = F.size(hashes)
+    lanes = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda g: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a + F.call_function("shiftrightunsigned", x, g).bitwiseAND(F.lit(_LANES))))
+    half = F.struct(lanes.alias("lanes"), n.alias("n"))
 
-    def add(acc: Column, g: Column) -> Column:
-        count = F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a + F.call_function("shiftrightunsigned", x, g).bitwiseAND(F.lit(_LANES)))
+    def bits(count: Column, g: Column, n: Column) -> Column:
+        out = F.lit(0).cast("long")
         for lane in range(3):
             of = F.call_function("shiftrightunsigned", count, F.lit(21 * lane)).bitwiseAND(F.lit((1 << 21) - 1))
-            acc = acc.bitwiseOR(F.when(of * 2 > n, F.call_function("shiftleft", F.lit(1).cast("long"), g + 21 * lane)).otherwise(F.lit(0).cast("long")))
-        return acc
+            out = out.bitwiseOR(F.when(of * 2 > n, F.call_function("shiftleft", F.lit(1).cast("long"), g + 21 * lane)).otherwise(F.lit(0).cast("long")))
+        return out
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(20)), F.lit(0).cast("long"), add)
+    # a lambda's variable is computed once, an expression as often as it is written
+    each = F.transform(F.array(half), lambda h: F.aggregate(F.transform(h["lanes"], lambda c, g: bits(c, g, h["n"])), F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(x)))
+    return F.coalesce(F.get(each, F.lit(0)), F.lit(0).cast("long"))
 
 
 def _block(fingerprint: Column, j: Column | int) -> Column:
