@@ -32,17 +32,19 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of no known language: without a letter, or far from every profile."""
+    docs = docs.select(*COLUMNS)
     found = identify(docs, learn(docs), keep=COLUMNS, lang_name="__lang", score_name="__score")
     return found.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each source's boilerplate lines out of the texts; every document stays."""
-    return line_dedup(docs, report=None).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return line_dedup(docs.select(*COLUMNS), report=None).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each component of near copies; of rows that repeat an id, one."""
+    docs = docs.select(*COLUMNS)
     found = near_dedup(docs)
     out = without(docs, found.filter("NOT kept")).select(*COLUMNS)
     again = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -53,6 +55,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
+    docs = docs.select(*COLUMNS)
     return without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))).select(*COLUMNS)
 
 

@@ -62,6 +62,17 @@ def maybe_broadcast(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= bound else df.hint("merge")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def salt_of(key: Column, salts: int) -> Column:
     """A salt from 0 to ``salts`` - 1 that is a function of the row, so any re-run gives the same."""
     return F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")

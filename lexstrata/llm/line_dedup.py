@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexstrata.llm.common import BROADCAST_ROWS, salt_of, written
+from lexstrata.llm.common import BROADCAST_ROWS, free_names, salt_of, written
 
 #: Space, tab and carriage return at a line's ends are not part of the line.
 BLANKS = " \t\r"
@@ -65,20 +65,20 @@ def line_dedup(
     host = F.col("source") if host is None else host
     found = written(boilerplate_lines(df, host, text_col, max_ratio, min_pages).select("h", "line"), "boilerplate")
     rows = found.count()
-    by_host = found.groupBy(F.col("h").alias("__h")).agg(F.collect_list("line").alias("__bad"))
-    keyed = df.withColumn("__h", F.coalesce(host, F.lit("")))
+    h, bad, salt, kept, gone = free_names(df, "h", "bad", "salt", "kept", "gone")
+    by_host = found.groupBy(F.col("h").alias(h)).agg(F.collect_list("line").alias(bad))
+    keyed = df.withColumn(h, F.coalesce(host, F.lit("")))
     if rows <= broadcast_rows:
-        joined = keyed.join(F.broadcast(by_host), "__h", "left")
+        joined = keyed.join(F.broadcast(by_host), h, "left")
     else:  # hosts of many pages are dealt over the salts
-        every = by_host.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = keyed.withColumn("__salt", salt_of(F.col(text_col), salts)).join(every, ["__h", "__salt"], "left")
+        every = by_host.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = keyed.withColumn(salt, salt_of(F.col(text_col), salts)).join(every, [h, salt], "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__bad"), _line(x)), F.lit(False)))
-    out = joined.withColumn("__kept", F.when(F.col("__bad").isNotNull(), kept))
-    gone = F.coalesce(F.size(lines) - F.size(F.col("__kept")), F.lit(0))
-    out = out.withColumn("__gone", F.when(F.col("__kept").isNull(), 0).otherwise(gone))
-    if report:
-        n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
-        out = out.withColumn(report, F.struct(n.cast("long").alias("n_lines"), F.col("__gone").cast("long").alias("n_dropped")))
-    text = F.when(F.col("__gone") > 0, F.array_join("__kept", "\n")).otherwise(F.col(text_col))
-    return out.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in [*df.columns, *([report] if report and report not in df.columns else [])]))
+    stay = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col(bad), _line(x)), F.lit(False)))
+    out = joined.withColumn(kept, F.when(F.col(bad).isNotNull() & F.col(text_col).isNotNull(), stay))
+    out = out.withColumn(gone, F.when(F.col(kept).isNull(), 0).otherwise(F.size(lines) - F.size(F.col(kept))))
+    text = F.when(F.col(gone) > 0, F.array_join(F.col(kept), "\n")).otherwise(F.col(text_col))
+    n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
+    about = F.struct(n.cast("long").alias("n_lines"), F.col(gone).cast("long").alias("n_dropped"))
+    columns = [text.alias(c) if c == text_col else about.alias(c) if c == report else F.col(f"`{c}`") for c in df.columns]
+    return out.select(*columns, *([about.alias(report)] if report and report not in df.columns else []))
