@@ -23,12 +23,12 @@ def classify_lines(text: Column, askers: str, spokes: str, noise: str = "^$") ->
 def fill_turns(lines: DataFrame, key: str, order: str) -> DataFrame:
     """Unlabelled lines take the kind and label of the line before; noise is dropped. Adds ``pair``: how many questions began so far (a question after an answer, or after another asker's)."""
     w = Window.partitionBy(key).orderBy(order)
-    rows = lines.filter("kind IS NULL OR kind <> 'noise'").withColumn("k", F.last("kind", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = lines.filter("kind IS NULL OR kind <> 'noise'").withColumn("__k", F.last("kind", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.withColumn("label", F.last("label", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    before = F.lag("k").over(w)
-    begins = (F.col("k") == "q") & (F.coalesce(before, F.lit("")) != "q") | ((F.col("kind") == "q") & (before == "q") & (F.lag("label").over(w) != F.col("label")))
+    before = F.lag("__k").over(w)
+    begins = (F.col("__k") == "q") & (F.coalesce(before, F.lit("")) != "q") | ((F.col("kind") == "q") & (before == "q") & (F.lag("label").over(w) != F.col("label")))
     rows = rows.withColumn("begins", F.coalesce(begins, F.lit(False)).cast("int"))
-    return rows.withColumn("pair", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("k IS NOT NULL").withColumn("kind", F.col("k")).drop("k", "begins")
+    return rows.withColumn("pair", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("__k IS NOT NULL").withColumn("kind", F.col("__k")).drop("__k", "begins")
 
 
 def qa_pairs(turns: DataFrame, key: str, order: str, text: str) -> DataFrame:
