@@ -9,9 +9,9 @@ sub-keys of 2 minhashes, 0.99999 at s = 0.8 and more above.
 
 Candidates are verified on the full shingle sets. No group emits all its pairs:
 documents with equal sets form one class; in a table's bucket each member meets the
-smallest; whoever is not in the same component after that (few) meets every other
-member of its buckets. So each pair of bucket mates in different components has
-been compared.
+smallest; pairs of bucket mates that are in different components after that are
+compared unless what they share with the smallest rules out the similarity. So
+no link between bucket mates of different components is lost.
 """
 
 from __future__ import annotations
@@ -78,14 +78,9 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int = 80) -> bool:
-    """Whether 100 * intersection >= percent * union of two sorted sets; empty sets are like nothing."""
-    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
-    both = np.concatenate((a, b))
-    both.sort()
-    common = int(np.count_nonzero(both[1:] == both[:-1]))
-    return 100 * common >= percent * (len(a) + len(b) - common)
+def meets(common: str, n: str, m: str, percent: int) -> str:
+    """SQL for 100 * intersection >= percent * union, given the intersection's and the sets' sizes."""
+    return f"100 * {common} >= {percent} * ({n} + {m} - {common})"
 
 
 class TensorHash:
@@ -129,36 +124,92 @@ def signatures(docs: DataFrame, hashes: TensorHash) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {id_type}, n_shingles long, set_key binary, a array<long>, b array<long>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, percent: int, most: int = 256) -> DataFrame:
-    """Those of the distinct candidate ``(a, b)`` whose full shingle sets are similar.
+def compared(docs: DataFrame, pairs: DataFrame, n_pairs: int | None = None, spell: bool = False, most: int = 256) -> DataFrame:
+    """For distinct candidates ``(a, b)`` the full sets' sizes and intersection: ``a, b, n_a, n_b, common``.
 
-    Rows of a ``b`` come as one sorted run, its own text first, so a task holds
-    one set and streams the others past it. A ``b`` of more than ``most`` partners
-    is dealt over several runs.
+    With ``spell``, also the shingles of ``a`` that ``b`` has not (``own``). Rows of a
+    ``b`` come as one sorted run, its own text first, so a task holds one set and
+    streams the others past it. A ``b`` of more than ``most`` partners is dealt over
+    several runs. If the pairs are counted and few, their ids are broadcast to the
+    texts; else both are shuffled by id.
     """
     hot = written(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("b", F.expr(f"n div {most} + 1").alias("runs")), "hot")
     dealt = pairs.join(maybe_broadcast(hot, hot.count()), "b", "left")
     dealt = dealt.select("a", "b", F.when(F.col("runs").isNull(), 0).otherwise(F.pmod(F.xxhash64("a"), "runs")).alias("run"))
     roles = dealt.select(F.col("a").alias("doc_id"), "b", "run", F.lit(1).alias("part")).unionByName(dealt.select(F.col("b").alias("doc_id"), "b", "run", F.lit(0).alias("part")).distinct())
-    rows = docs.select("doc_id", "text").join(roles.hint("merge"), "doc_id").repartition("b", "run").sortWithinPartitions("b", "run", "part").select("doc_id", "b", "run", "part", "text")
+    roles = roles.hint("merge") if n_pairs is None else maybe_broadcast(roles, 2 * n_pairs)
+    rows = docs.select("doc_id", "text").join(roles, "doc_id").repartition("b", "run").sortWithinPartitions("b", "run", "part").select("doc_id", "b", "run", "part", "text")
+    names = ["a", "b", "n_a", "n_b", "common", "own"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own = None, []
+        now, own = None, np.zeros(0, np.uint64)
         for batch in batches:
             for piece in slices(batch, 4):
                 found = []
                 ids, bs, runs, parts = (piece.column(i).to_pylist() for i in range(4))
                 for i, shingles in enumerate(shingle_sets(*text_buffers(piece.column(4)))):
                     if now != (bs[i], runs[i]):
-                        now, own = (bs[i], runs[i]), []
+                        now, own = (bs[i], runs[i]), np.zeros(0, np.uint64)
                     if parts[i] == 0:
-                        own.append(shingles)  # more than one only if rows share an id
-                    elif any(similar(x, shingles, percent) for x in own):
-                        found.append((ids[i], bs[i]))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], piece.schema.field(k).type) for k in (0, 1)], names=["a", "b"])
+                        own = shingles if not len(own) else own  # rows that share an id are one document
+                        continue
+                    at = np.minimum(np.searchsorted(own, shingles), max(len(own) - 1, 0))
+                    both = own[at] == shingles if len(own) else np.zeros(len(shingles), bool)
+                    found.append((ids[i], bs[i], len(shingles), len(own), int(both.sum()), shingles[~both].view(np.int64) if spell else None))
+                columns = list(zip(*found)) if found else [()] * 6
+                kinds = [piece.schema.field(0).type, piece.schema.field(1).type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(compare, f"a {kind}, b {kind}").distinct()
+    out = rows.mapInArrow(compare, f"a {kind}, b {kind}, n_a long, n_b long, common long, own array<long>")
+    return out if spell else out.drop("own")
+
+
+def left_apart(docs: DataFrame, first: DataFrame, found: DataFrame, percent: int, together: int = 4) -> DataFrame:
+    """Pairs ``(a, b)`` of bucket mates that are in different components and can still be similar.
+
+    Mates met the same smallest document r; of two in different components, at least
+    one (x) is outside the component that most mates of r are in. Of their
+    intersection, at most min(|x & r|, |y & r|) lies in r. Either that alone can be
+    enough, which leaves x few sizes of partners (part of the join's key), or they
+    share at least t shingles that r has not: then, for any l up to t, the
+    |x - r| - t + l rarest such shingles of x hold l of y - r. A pair is judged by
+    the smallest r that both met. So a group's pairs are not enumerated.
+    """
+    comp = found.select(F.col("node").alias("a"), "component")
+    edges = first.select("a", "b").join(comp, "a", "left").withColumn("comp", F.coalesce("component", "a"))
+    sizes = edges.groupBy("b", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("b").agg(F.max_by("comp", "k").alias("major"), F.count(F.lit(1)).alias("comps"))
+    meet = written(sizes.filter("comps > 1").select("b", "major"), "meet")
+    n_meet = meet.count()
+    if not n_meet:
+        return first.select("a", "b").limit(0)
+    around = written(edges.join(maybe_broadcast(meet, n_meet), "b").select("a", "b", "comp", (F.col("comp") != F.col("major")).alias("odd")), "around")
+    met = around.groupBy("a").agg(F.collect_set("b").alias("rs"))  # at most one for each table
+    spelled = compared(docs, around.select("a", "b"), around.count(), spell=True).join(around.join(met, "a"), ["a", "b"])
+    spelled = written(spelled.select(F.col("a").alias("id"), F.col("b").alias("r"), F.col("n_a").alias("n"), F.col("common").alias("i"), "comp", "odd", "rs", "own"), "spelled")
+    side = lambda df, name, *more: df.select("r", *(F.col(k).alias(f"{name}_{k}") for k in ("id", "n", "i", "comp", "rs")), *more)
+    apart_pair = "x_id <> y_id AND x_comp <> y_comp AND array_min(array_intersect(x_rs, y_rs)) = r"
+    least = f"{percent} * (x_n + y_n) - {100 + percent} * least(x_i, y_i)"  # over 0: as many shingles by (100 + percent) must be shared outside r
+
+    band = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(1.02)))
+    low = F.ceil(F.col("n") * percent / 100)
+    high = F.floor(F.col("i") * (100 + percent) / percent) - F.col("n")
+    x = spelled.filter("odd").withColumn("low", low).withColumn("high", high).filter("low <= high")
+    x = side(x, "x", F.explode(F.sequence(band(F.col("low")), band(F.col("high")))).alias("band"))
+    y = side(spelled, "y", band(F.col("n")).alias("band"))
+    within = x.join(y, ["r", "band"]).filter(f"{apart_pair} AND {least} <= 0").select("x_id", "y_id")
+
+    loose = spelled.select("r", "id", "n", "i", "comp", "rs", "odd", F.explode("own").alias("s"))
+    loose = loose.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("r", "s")))
+    rank = F.row_number().over(Window.partitionBy("r", "id").orderBy("holders", "s"))
+    x = side(loose.filter("odd").withColumn("rank", rank).filter("holders > 1"), "x", "s", "rank")
+    y = side(loose.filter("holders > 1"), "y", "s")
+    shared = f"ceil(({least}) / {100 + percent})"
+    shares = x.join(y, ["r", "s"]).filter(f"{apart_pair} AND {least} > 0 AND rank <= x_n - x_i - {shared} + least({shared}, {together}) AND {shared} <= y_n - y_i")
+    beyond = shares.groupBy("r", "x_id", "y_id").agg(F.count(F.lit(1)).alias("met"), F.first(F.expr(f"least({shared}, {together})")).alias("asked")).filter("met >= asked").select("x_id", "y_id")
+
+    pairs = within.unionByName(beyond).select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")).distinct()
+    return pairs.join(first, ["a", "b"], "left_anti")
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, hashes: TensorHash | None = None, salts: int = 16) -> DataFrame:
@@ -191,23 +242,17 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     least = F.min("doc_id").over(Window.partitionBy("key"))
     first = tables(nodes).withColumn("b", least).filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
     first = written(first, "pairs")
-    links = written(verified(docs, first, percent), "links")
-    found = written(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
-
-    # bucket mates that are not yet together: whoever failed to join its bucket's smallest
-    own = found.select(F.col("node").alias("doc_id"), "component")
-    comp = lambda pairs, side: pairs.join(own.select(F.col("doc_id").alias(side), F.col("component").alias(f"c_{side}")), side, "left").withColumn(f"c_{side}", F.coalesce(f"c_{side}", side))
-    apart = written(comp(comp(first, "a"), "b").filter("c_a <> c_b").select(F.col("a").alias("doc_id")).distinct(), "apart")
-    n_apart = apart.count()
-    if n_apart:
-        odd = tables(nodes.join(maybe_broadcast(apart, n_apart), "doc_id", "left_semi")).select("key", F.col("doc_id").alias("a"))
-        mates = tables(nodes).join(maybe_broadcast(odd, n_apart * hashes.side**2), "key").filter("doc_id <> a").select(F.greatest("a", "doc_id").alias("a"), F.least("a", "doc_id").alias("b")).distinct()
-        mates = mates.join(first, ["a", "b"], "left_anti")
-        second = written(comp(comp(mates, "a"), "b").filter("c_a <> c_b").select("a", "b"), "pairs")
-        if second.limit(1).count():
-            more = written(verified(docs, second, percent), "links")
-            if more.limit(1).count():
-                found = written(components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+    first = written(compared(docs, first), "compared")
+    linked = F.expr(meets("common", "n_a", "n_b", percent))
+    links = first.filter(linked).select("a", "b")
+    group = lambda edges: written(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
+    found = group(links)
+    second = written(left_apart(docs, first, found, percent), "pairs")
+    n_second = second.count()
+    if n_second:
+        more = written(compared(docs, second, n_second).filter(linked).select("a", "b"), "links")
+        if more.limit(1).count():
+            found = group(links.unionByName(more))
     spread = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"), F.explode("salts").alias("salt"))
     rows = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"), salt_of(F.col("doc_id"), salts).alias("salt"))
     out = rows.join(spread, ["set_key", "salt"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
