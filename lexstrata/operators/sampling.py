@@ -65,16 +65,21 @@ def active_pool(rows: DataFrame, dims: Sequence[str], per_dim: int, key: str) ->
     return out
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's r as an aggregate; null where a side is constant (the builtin raises in ANSI mode)."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def agreement(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
     """Agreement of two 0/1 codes: ``n, accuracy, kappa, f1, pearson, rate_a, rate_b``; nulls don't count."""
     x, y = F.col(a).cast("double"), F.col(b).cast("double")
     g = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg((x == y).cast("double")).alias("accuracy"), F.avg(x).alias("rate_a"), F.avg(y).alias("rate_b"),
-        F.sum(x * y).alias("__both"), F.sum(x + y).alias("__any"), F.corr(x, y).alias("pearson"),
+        F.sum(x * y).alias("__both"), F.sum(x + y).alias("__any"), correlation(x, y).alias("pearson"),
     )
     chance = F.col("rate_a") * F.col("rate_b") + (1 - F.col("rate_a")) * (1 - F.col("rate_b"))
     kappa = F.when(chance < 1, (F.col("accuracy") - chance) / (1 - chance))
-    return g.select(*keys, "n", "accuracy", kappa.alias("kappa"), F.when(F.col("__any") > 0, 2 * F.col("__both") / F.col("__any")).alias("f1"), F.when(~F.isnan("pearson"), F.col("pearson")).alias("pearson"), "rate_a", "rate_b")
+    return g.select(*keys, "n", "accuracy", kappa.alias("kappa"), F.when(F.col("__any") > 0, 2 * F.col("__both") / F.col("__any")).alias("f1"), "pearson", "rate_a", "rate_b")
 
 
 def average_rank(of: Column, keys: Sequence[str] = ()) -> Column:
@@ -86,7 +91,7 @@ def average_rank(of: Column, keys: Sequence[str] = ()) -> Column:
 def spearman(df: DataFrame, a: str, b: str, keys: Sequence[str]) -> DataFrame:
     """Correlation of average ranks within each key."""
     rows = df.withColumn("__a", average_rank(F.col(a), keys)).withColumn("__b", average_rank(F.col(b), keys))
-    return rows.groupBy(*keys).agg(F.corr("__a", "__b").alias("spearman"))
+    return rows.groupBy(*keys).agg(correlation(F.col("__a"), F.col("__b")).alias("spearman"))
 
 
 def auc(df: DataFrame, score: str, label: str, keys: Sequence[str]) -> DataFrame:

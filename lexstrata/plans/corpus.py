@@ -266,7 +266,7 @@ def labels_agreement(spark, sf_dir):
     return out.select("arm", "n", *(F.round(c, 6).alias(c) for c in ("accuracy", "kappa", "f1")))
 
 
-@query("labels_agreement_by_lang", f"SELECT lang, {_AG}, round(corr(quality, toxic), 6) AS pearson FROM labels JOIN documents USING (doc_id) GROUP BY 1")
+@query("labels_agreement_by_lang", f"SELECT lang, {_AG}, round(CASE WHEN stddev_pop(quality) * stddev_pop(toxic) > 0 THEN corr(quality, toxic) END, 6) AS pearson FROM labels JOIN documents USING (doc_id) GROUP BY 1")
 def labels_agreement_by_lang(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     return P.agreement(rows, "quality", "toxic", ["lang"]).select("lang", "n", *(F.round(c, 6).alias(c) for c in ("accuracy", "kappa", "f1", "pearson")))
@@ -284,7 +284,7 @@ def labels_krippendorff(spark, sf_dir):
 _RK = """r AS (SELECT lang, quality, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY lang ORDER BY quality) + (count(*) OVER (PARTITION BY lang, quality) - 1) / 2.0::DOUBLE AS rb FROM labels JOIN documents USING (doc_id))"""
 
 
-@query("labels_auc_spearman", f"""WITH {_RK} SELECT lang, round((sum(ra) FILTER (quality = 1) - count(*) FILTER (quality = 1) * (count(*) FILTER (quality = 1) + 1) / 2.0::DOUBLE) / nullif(count(*) FILTER (quality = 1) * count(*) FILTER (quality = 0), 0), 6) AS auc, round(corr(ra, rb), 6) AS spearman FROM r GROUP BY 1""")
+@query("labels_auc_spearman", f"""WITH {_RK} SELECT lang, round((sum(ra) FILTER (quality = 1) - count(*) FILTER (quality = 1) * (count(*) FILTER (quality = 1) + 1) / 2.0::DOUBLE) / nullif(count(*) FILTER (quality = 1) * count(*) FILTER (quality = 0), 0), 6) AS auc, round(CASE WHEN stddev_pop(ra) * stddev_pop(rb) > 0 THEN corr(ra, rb) END, 6) AS spearman FROM r GROUP BY 1""")
 def labels_auc_spearman(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
     a, s = P.auc(rows, "n_chars", "quality", ["lang"]), P.spearman(rows, "n_chars", "quality", ["lang"])

@@ -146,11 +146,11 @@ def orders_columnar(spark, sf_dir):
     return S.columnar(m, ["stream"], ["n"], "n").select("stream", F.to_json("period").alias("period"), F.to_json("n").alias("n"))
 
 
-@query("events_stream_series", """SELECT event_type AS stream, CAST(date_trunc('day', ts) AS DATE) AS period, 'value' AS metric, count(*) AS n, round(avg(value), 4) AS mean, round(coalesce(stddev_samp(value), 0), 4) AS sd
+@query("events_stream_series", """SELECT event_type AS stream, CAST(date_trunc('day', ts) AS DATE) AS period, 'value' AS metric, count(*) AS n, round(avg(value), 8) AS mean, round(coalesce(stddev_samp(value), 0), 8) AS sd
 FROM events GROUP BY 1, 2""")
 def events_stream_series(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("stream"), S.period_of(F.col("ts"), "day").alias("p"), "value")
-    return S.stream_series(rows, ["stream"], "p", ["value"]).select("stream", "period", "metric", "n", _r("mean"), _r("sd"))
+    return S.stream_series(rows, ["stream"], "p", ["value"]).select("stream", "period", "metric", "n", _r("mean", 8), _r("sd", 8))
 
 
 #: Rows of series: scored, not of an excluded sample (a null sample stays).
