@@ -150,3 +150,32 @@ def calibrate_intercept(z: DataFrame, column: str, mean: float, bins: float = 0.
         else:
             hi = mid
     return (lo + hi) / 2
+
+
+def balanced(rows: DataFrame, strata: Sequence[str], most: int, key: str) -> DataFrame:
+    """At most ``most`` rows of each stratum, chosen by a hash."""
+    w = Window.partitionBy(*strata).orderBy(F.xxhash64(F.col(key)), key)
+    return rows.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most).drop("__r")
+
+
+def round_robin(rows: DataFrame, stratum: str, date: str, key: str) -> DataFrame:
+    """Rows in turns: the newest of every stratum first, then the second newest of each."""
+    w = Window.partitionBy(stratum).orderBy(F.desc(date), key)
+    return rows.withColumn("turn", F.row_number().over(w)).orderBy("turn", F.desc(date), key)
+
+
+def id_gaps(rows: DataFrame, key: str, group: str, least: int = 2) -> DataFrame:
+    """``group, after, missing``: holes in a sequence of numbers."""
+    after = F.lead(key).over(Window.partitionBy(group).orderBy(key)) - F.col(key) - 1
+    return rows.select(group, F.col(key).alias("after"), after.alias("missing")).filter(F.col("missing") >= least - 1)
+
+
+def packet_order(rows: DataFrame, key: str) -> DataFrame:
+    """Rows for human coders in an order that says nothing about them."""
+    return rows.orderBy(F.crc32(F.concat(F.lit("packet:"), F.col(key).cast("string")).cast("binary")), key)
+
+
+def language_deficits(have: DataFrame, want: DataFrame, key: str = "lang") -> DataFrame:
+    """``lang, missing``: how many more rows each language needs."""
+    rows = want.select(key, F.col("n").alias("want")).join(have.select(key, F.col("n").alias("have")), key, "left")
+    return rows.select(key, F.greatest(F.col("want") - F.coalesce("have", F.lit(0)), F.lit(0)).alias("missing")).filter("missing > 0")
