@@ -387,3 +387,25 @@ def read_terms(lines: Sequence[str]) -> list[tuple[str, str, str]]:
 def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int = 1) -> DataFrame:
     """The first ``k`` rows of each group."""
     return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("__rank") <= k).drop("__rank")
+
+
+def verbatim(docs: DataFrame, phrases: DataFrame, key: str = "doc_id", item: str = "item_id", needle: str = "needle", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``key, item`` where a document's text contains a phrase, for tables of any size.
+
+    A phrase's inner words (all but the first and last) are whole words of a text that
+    contains it; the longest is the join key, so only texts with that word are
+    searched. Phrases without an inner word (few words) are searched in every text.
+    """
+    words = lambda c: F.split(c, "\\s+")
+    inner = F.slice(words(F.col(needle)), F.lit(2), F.greatest(F.size(words(F.col(needle))) - 2, F.lit(0)))
+    longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)
+    rows = phrases.filter(F.coalesce(F.col(needle), F.lit("")) != "").select(item, needle, F.when(F.size(inner) > 0, longest["w"]).alias("anchor"))
+    long, short = rows.filter("anchor IS NOT NULL"), rows.filter("anchor IS NULL")
+    n = rows.groupBy(F.col("anchor").isNull().alias("short")).agg(F.count(F.lit(1)).alias("n")).collect()
+    sizes = {r["short"]: r["n"] for r in n}
+    side = F.broadcast(long) if sizes.get(False, 0) <= broadcast_rows else long.hint("merge")
+    texts = docs.select(key, "text", F.explode(F.array_distinct(words(F.col("text")))).alias("anchor"))
+    found = texts.join(side, "anchor").filter(F.contains("text", needle)).select(key, item)
+    if sizes.get(True, 0):
+        found = found.unionByName(docs.select(key, "text").join(F.broadcast(short) if sizes[True] <= 10_000 else short, F.contains("text", needle)).select(key, item))
+    return found

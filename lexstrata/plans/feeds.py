@@ -249,3 +249,11 @@ def docs_url_dedupe(spark, sf_dir):
 
     rows = docs(spark, sf_dir).withColumn("url", F.col("doc_id") % 300)
     return first_wins(rows, "url", [F.substring("source", 4, 9).cast("int"), F.col("doc_id")]).select("doc_id", "source")
+
+
+@query("pages_parsed")
+def pages_parsed(spark, sf_dir):
+    from lexstrata.operators.parsers import parse_pages
+
+    rows = parse_pages(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return rows.select("page_id", "parsed.title", F.length("parsed.text").alias("chars"))

@@ -104,13 +104,8 @@ def docs_term_report(spark, sf_dir):
 
 @query("docs_benchmark_contamination", """SELECT item_id, count(*) AS docs FROM benchmark JOIN documents ON contains(documents.text, benchmark.text) GROUP BY 1""")
 def docs_benchmark_contamination(spark, sf_dir):
-    # a query set against all documents: the items are counted before they are broadcast
-    items = table(spark, sf_dir, "benchmark").filter("text <> ''").select("item_id", F.col("text").alias("needle"))
-    key = F.split("needle", " ")[0]
-    if items.count() > 10_000:
-        raise ValueError("too many phrases for a scan; use lexstrata.llm.decontaminate")
-    found = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(items.filter(key != "")), F.col("text").contains(F.col("needle")))
-    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("needle"))
+    return Q.verbatim(table(spark, sf_dir, "documents"), items).groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"))
 
 
 @query("docs_token_df", f"""WITH {DOCS_SQL}, w AS (SELECT unnest(list_distinct(list_filter({_TOKENS}, lambda x: NOT regexp_matches(x, '^[0-9]{{5,}}$')))) AS token FROM docs) SELECT token, count(*) AS df FROM w GROUP BY 1 HAVING count(*) >= 20""")

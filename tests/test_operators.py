@@ -348,3 +348,19 @@ def test_series_across_streams(spark):
     alerts = spark.createDataFrame([("s", "2024-05-01", "2024-05-08", 4.0, 100, "strong"), ("t", "2023-01-01", "2023-01-02", 9.0, 100, "strong")], "stream string, start string, end string, z double, n int, tier string")
     ranked = views.ranked_alerts(alerts, F.lit("2024-01-01")).orderBy("alert_id").collect()
     assert [r.stream for r in ranked] == ["s", "t"]
+
+
+def test_parsers(spark):
+    from lexstrata.operators.parsers import parse_pages
+
+    page = '<title>T</title><script type="application/ld+json">{"datePublished":"2024-03-05T10:00","author":{"name":"N"}}</script><article><p>a &amp; b<p>c</article>'
+    df = spark.createDataFrame([("x", page), ("mine", "zz"), ("x", None)], "site string, html string")
+    got = [r.parsed for r in parse_pages(df, "site", parsers={"mine": lambda p: {"title": p.upper()}}).collect()]
+    assert (got[0].title, got[0].date, got[0].text, got[0].speaker) == ("T", "2024-03-05", "a & b\nc", "N")
+    assert got[1].title == "ZZ" and got[2].title is None
+
+
+def test_verbatim(spark):
+    docs = spark.createDataFrame([(1, "xx one two three four yy"), (2, "one two"), (3, "none")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "ne two three fo"), (2, "one two"), (3, ""), (4, None), (5, "zz two three four")], "item_id long, needle string")
+    assert sorted(map(tuple, search.verbatim(docs, items).collect())) == [(1, 1), (1, 2), (2, 2)]
