@@ -220,13 +220,13 @@ def split_by_crc(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(P.held_out(F.col("doc_id")).alias("held_out")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("hash_ranked_sample", f"""WITH {DOCS_SQL}, h AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY substr(sha256('s1' || doc_id), 1, 16), doc_id) AS pos FROM docs) SELECT doc_id, source, lang, pos FROM h WHERE pos <= 3""")
+@query("hash_ranked_sample", f"""WITH {DOCS_SQL}, h AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY substr(sha256('s1' || doc_id), 1, 16), doc_id) AS pos FROM docs) SELECT doc_id, source, lang, pos::INT AS pos FROM h WHERE pos <= 3""")
 def hash_ranked_sample(spark, sf_dir):
     rows = docs(spark, sf_dir).withColumn("quota", F.lit(3))
     return P.stratified(rows, ["source", "lang"], "quota", "s1", "doc_id").select("doc_id", "source", "lang", "pos")
 
 
-@query("hash_band_sample", f"""WITH {DOCS_SQL}, h AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY substr(sha256('s2' || doc_id), 1, 16), doc_id) AS pos FROM docs) SELECT doc_id, pos FROM h WHERE pos > 5 AND pos <= 12""")
+@query("hash_band_sample", f"""WITH {DOCS_SQL}, h AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY substr(sha256('s2' || doc_id), 1, 16), doc_id) AS pos FROM docs) SELECT doc_id, pos::INT AS pos FROM h WHERE pos > 5 AND pos <= 12""")
 def hash_band_sample(spark, sf_dir):
     return P.band(docs(spark, sf_dir), ["source"], "s2", "doc_id", 5, 12).select("doc_id", "pos")
 

@@ -58,7 +58,7 @@ def conv_month_over_month(spark, sf_dir):
 
 
 @query("conv_top_quotes", """WITH d AS (SELECT *, row_number() OVER (PARTITION BY role, substr(text, 1, 60) ORDER BY length(text) DESC, conv_id, turn) AS d FROM conversations),
-r AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY length(text) DESC, conv_id, turn) AS place FROM d WHERE d = 1) SELECT role, conv_id, turn, place FROM r WHERE place <= 10""")
+r AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY length(text) DESC, conv_id, turn) AS place FROM d WHERE d = 1) SELECT role, conv_id, turn, place::INT AS place FROM r WHERE place <= 10""")
 def conv_top_quotes(spark, sf_dir):
     order = [F.desc(F.length("text")), F.col("conv_id"), F.col("turn")]
     return U.top_quotes(table(spark, sf_dir, "conversations"), ["role"], order, "text", 60, 10).select("role", "conv_id", "turn", "place")
@@ -66,7 +66,7 @@ def conv_top_quotes(spark, sf_dir):
 
 @query("conv_capped_quotes", """WITH d AS (SELECT *, conv_id % 5 AS month, row_number() OVER (PARTITION BY conv_id % 5, substr(text, 1, 80) ORDER BY length(text) DESC, conv_id, turn) AS d FROM conversations),
 g AS (SELECT *, row_number() OVER (PARTITION BY month, role ORDER BY length(text) DESC, conv_id, turn) AS g FROM d WHERE d = 1),
-r AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY length(text) DESC, conv_id, turn) AS place FROM g WHERE role = 'user' OR g <= 2) SELECT month, conv_id, turn, place FROM r WHERE place <= 4""")
+r AS (SELECT *, row_number() OVER (PARTITION BY month ORDER BY length(text) DESC, conv_id, turn) AS place FROM g WHERE role = 'user' OR g <= 2) SELECT month, conv_id, turn, place::INT AS place FROM r WHERE place <= 4""")
 def conv_capped_quotes(spark, sf_dir):
     order = [F.desc(F.length("text")), F.col("conv_id"), F.col("turn")]
     rows = table(spark, sf_dir, "conversations").withColumn("month", F.col("conv_id") % 5)
@@ -145,7 +145,7 @@ def events_stream_weeks(spark, sf_dir):
     name = f"weeks_{abs(hash(sf_dir)) % 10**8}"
     q = S.to_memory(S.tumbling(stream, ["event_type"], "value", late="3 days"), name, "complete")
     q.awaitTermination()
-    return spark.table(name).select("start", "event_type", "n")
+    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @query("events_props_json", """SELECT event_type, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS k, count(*) FILTER (json_extract_string(props, '$.k') IS NULL) AS missing FROM events GROUP BY 1""")

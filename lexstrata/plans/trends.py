@@ -139,7 +139,7 @@ def orders_volume_flags(spark, sf_dir):
     return S.volume_flags(m, ["stream"])
 
 
-@query("orders_columnar", """SELECT o_orderpriority AS stream, to_json(list(p ORDER BY p)) AS period, to_json(list(n ORDER BY p)) AS n
+@query("orders_columnar", """SELECT o_orderpriority AS stream, CAST(to_json(list(p ORDER BY p)) AS VARCHAR) AS period, CAST(to_json(list(n ORDER BY p)) AS VARCHAR) AS n
 FROM (SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS p, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1""")
 def orders_columnar(spark, sf_dir):
     m = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("stream"), F.date_format("o_orderdate", "yyyy-MM").alias("period")).agg(F.count(F.lit(1)).alias("n"))
