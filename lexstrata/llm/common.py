@@ -47,6 +47,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def small_table(spark: SparkSession, rows: list[tuple], **types: pa.DataType) -> DataFrame:
+    """A table of rows that the driver has, made without Python workers on the executors."""
+    columns = list(zip(*rows)) if rows else [()] * len(types)
+    return spark.createDataFrame(pa.table({name: pa.array(list(c), t) for c, (name, t) in zip(columns, types.items())}))
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a table made by ``written`` that no plan will read any more."""
     path = getattr(df, "_lexstrata_path", None)
@@ -96,6 +102,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def slices(batch: pa.RecordBatch, text: int, most_bytes: int = 1 << 20):
     """Cut a batch into row ranges of about ``most_bytes`` of text; one longer text is a range of its own."""
+    pa.default_memory_pool().release_unused()  # the batches before
     offsets, _ = text_buffers(batch.column(text))
     n, start = batch.num_rows, 0
     while start < n:

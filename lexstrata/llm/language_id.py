@@ -111,6 +111,7 @@ def learn(
             return values, np.bincount(at, n).astype(np.int64)
 
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             for i in range(0, batch.num_rows, 256):
                 for text, lang in zip(batch.column(0).slice(i, 256).to_pylist(), batch.column(1).slice(i, 256).to_pylist()):
                     if text:
@@ -145,6 +146,7 @@ def identify(df: DataFrame, model: Profiles, text_col: str = "text", lang_name:
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 found = [model.predict(t) for t in part.column(at).to_pylist()]

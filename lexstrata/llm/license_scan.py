@@ -95,6 +95,7 @@ def word_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             for i in range(0, batch.num_rows, 256):
                 for text in batch.column(0).slice(i, 256).to_pylist():
                     if text:
@@ -170,6 +171,7 @@ def license_scan(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 rows = [scan_one(t) for t in part.column(1).to_pylist()]

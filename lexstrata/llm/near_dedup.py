@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from lexstrata.llm.common import maybe_broadcast, mix64, salt_of, slices, text_buffers, written
 from lexstrata.llm.components import components
 
+#: Bytes of text that a task turns into arrays at once.
+SLICE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _K1, _K2, _K3 = (np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 
@@ -48,7 +50,7 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base modulo 2^64 and of its inverse, at least ``n``."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         inverse = pow(_BASE, -1, 1 << 64)
         _POWERS[:] = [np.cumprod(np.append(np.uint64(1), np.full(size - 1, x, np.uint64)), dtype=np.uint64) for x in (np.uint64(_BASE), np.uint64(inverse))]
     return _POWERS[0], _POWERS[1]
@@ -110,7 +112,7 @@ def signatures(docs: DataFrame, hashes: TensorHash) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 sets = shingle_sets(*text_buffers(part.column(1)))
                 sizes = np.array([len(s) for s in sets], np.int64)
                 keys = np.array([hashes.keys(s) for s in sets if len(s)], np.uint64).view(np.int64).reshape(-1, 2, hashes.side)
@@ -144,7 +146,7 @@ def compared(docs: DataFrame, pairs: DataFrame, n_pairs: int | None = None, spel
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            for piece in slices(batch, 4):
+            for piece in slices(batch, 4, SLICE):
                 found = []
                 ids, bs, runs, parts = (piece.column(i).to_pylist() for i in range(4))
                 for i, shingles in enumerate(shingle_sets(*text_buffers(piece.column(4)))):

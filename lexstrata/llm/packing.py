@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexstrata.llm.common import maybe_broadcast, written
+from lexstrata.llm.common import maybe_broadcast, small_table, written
 
 #: Ids of a document end with this one.
 END_ID = 2
@@ -96,6 +96,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, pattern: str, id_col: str,
         coder, part = _encoding(tokenizer_path, pattern), TaskContext.get().partitionId()
         seen = np.zeros(max_len + 1, np.int64)
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             for i in range(0, batch.num_rows, 256):
                 ids_of, rows = batch.column(0).slice(i, 256), []
                 for row, text in enumerate(batch.column(1).slice(i, 256).to_pylist()):
@@ -136,7 +137,7 @@ def pack_documents(df: DataFrame, tokenizer_path: str, pattern: str, id_col: str
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = plan_bins(histogram, max_len)
-    layout = spark.createDataFrame(plan, "length long, lo long, hi long, first_bin long, per_bin long, at long")
+    layout = small_table(spark, plan, **dict.fromkeys(("length", "lo", "hi", "first_bin", "per_bin", "at"), pa.int64()))
     placed = pieces.join(maybe_broadcast(bases, counts.count()), ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
     placed = placed.join(maybe_broadcast(layout, len(plan)), "length").filter("rank >= lo AND rank < hi")
     return placed.select(

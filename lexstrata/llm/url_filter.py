@@ -15,10 +15,11 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexstrata.llm.common import maybe_broadcast
+from lexstrata.llm.common import maybe_broadcast, small_table
 
 #: Fixed host rules: verdict and rule, a host with a path prefix.
 HOST_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -109,8 +110,7 @@ def filter_urls(
     for no, p in enumerate(reversed(patterns), 1):
         key = min(p.tokens, key=lambda t: (seen[t], t)) if p.tokens else ""  # without a token: judged for every URL
         rows.append(("t:" + key, no, None, p.regex, p.rule, None))
-    schema = "key string, no int, prefix string, regex string, rule string, verdict string"
-    rules = df.sparkSession.createDataFrame(rows, schema)
+    rules = small_table(df.sparkSession, rows, key=pa.string(), no=pa.int32(), prefix=pa.string(), regex=pa.string(), rule=pa.string(), verdict=pa.string())
 
     host, path = host_path(F.col("url"))
     pages = pages.select("page_id", "url", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row"))

@@ -122,6 +122,7 @@ def derivatives(responses: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> D
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
                 found = [r for x in zip(*(c.to_pylist() for c in part.columns[len(keep) :])) for r in derive(*x)]
