@@ -87,8 +87,11 @@ def index_terms(text: Column) -> Column:
         pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(run, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
         return F.when(run.rlike(f"^[{CJK}]"), F.concat(chars, pairs)).otherwise(F.array(run))
 
-    words = F.filter(_runs(fold(text)), lambda w: ~w.rlike("^\\p{Nd}{5,}$"))
-    return F.flatten(F.transform(words, spread))
+    # most texts have neither long numbers nor CJK letters: one look at the whole text saves one at each word
+    folded = fold(text)
+    short = lambda words: F.when(folded.rlike("\\p{Nd}{5}"), F.filter(words, lambda w: ~w.rlike("^\\p{Nd}{5,}$"))).otherwise(words)
+    plain = F.regexp_extract_all(folded, F.lit("([\\p{L}\\p{N}]+)"), F.lit(1))
+    return F.when(folded.rlike(f"[{CJK}]"), F.flatten(F.transform(short(_runs(folded)), spread))).otherwise(short(plain))
 
 
 def index_tokens(text: Column) -> Column:
