@@ -125,6 +125,8 @@ def contaminated(
     if found is None:
         return df.sparkSession.createDataFrame([], f"doc_id {kind}, item_id {item_kind}, n_windows long, similarity double, first_word int, hamming int")
 
+    # little data but much work follows: a fixed number of partitions is not merged into a few
+    found = found.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row", "L")
     # a window belongs to its first anchor, so it is made once
     before = F.coalesce(F.lag("p").over(Window.partitionBy("row", "L", "k").orderBy("p")), F.lit(-1))
     lo, hi = F.greatest(F.col("low"), before + 1), F.greatest(F.least(F.col("p"), F.col("n") - F.col("L")), F.lit(0))
