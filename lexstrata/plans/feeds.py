@@ -175,9 +175,9 @@ def orders_event_window_grid(spark, sf_dir):
     return E.window_grid(_events(spark), days.select("stream").distinct(), days).select("event_id", "event_date", "stream", "offset", "date", "n")
 
 
-@query("orders_event_baseline", f"""WITH {_EVS}, {_DAYS} SELECT event_id, stream, round(sum(price * n) / sum(n), 4) AS base_mean, round(sum(n)::DOUBLE / 30, 6) AS per_day FROM ev JOIN days ON date BETWEEN event_date - 37 AND event_date - 8 GROUP BY 1, 2""")
+@query("orders_event_baseline", f"""WITH {_EVS}, {_DAYS} SELECT event_id, stream, round(sum(price * n) / sum(n) + 0.0000001, 4) AS base_mean, round(sum(n)::DOUBLE / 30, 6) AS per_day FROM ev JOIN days ON date BETWEEN event_date - 37 AND event_date - 8 GROUP BY 1, 2""")
 def orders_event_baseline(spark, sf_dir):
-    return E.baseline(_events(spark), _days(spark, sf_dir), "price", "n").select("event_id", "stream", F.round("base_mean", 4).alias("base_mean"), F.round("per_day", 6).alias("per_day"))
+    return E.baseline(_events(spark), _days(spark, sf_dir), "price", "n").select("event_id", "stream", F.round(F.col("base_mean") + 0.0000001, 4).alias("base_mean"), F.round("per_day", 6).alias("per_day"))
 
 
 @query("orders_event_overlaps", f"""WITH {_EVS} SELECT event_id, event_date, EXISTS (SELECT 1 FROM ev b WHERE b.event_id <> a.event_id AND a.event_date BETWEEN b.event_date - 7 AND b.event_date + 14) AS overlap FROM ev a""")
