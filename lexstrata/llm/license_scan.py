@@ -1,12 +1,15 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block (a line of the text) meets a template if it contains at least
-``threshold`` of the template's distinct words. Words are ordered by how many
-documents hold them, rarest first. Exactness comes from three filters that never
-lose a pair: a block which meets a template of ``n`` words, ``need`` of them in
-common, holds one of its ``n - need + 1`` rarest words (prefix), has at least
-``need`` template words (length), and from the first common word on both sides
-have enough words left (position). Pairs that pass are counted in full.
+A block is a line of the text, or any run of consecutive words across line ends
+that is at most ``SPAN`` times as long as the template (hard-wrapped notices). It
+meets a template if it contains at least ``threshold`` of the template's distinct
+words. Words are ordered by how many documents hold them, rarest first. Exactness
+comes from three filters that never lose a pair: a block which meets a template of
+``n`` words, ``need`` of them in common, holds one of its ``n - need + 1`` rarest
+words (prefix), has at least ``need`` template words (length), and from the first
+common word on both sides have enough words left (position). Pairs that pass are
+counted in full. Runs across lines are searched only for templates that the words
+of the whole text meet, as a run holds no others.
 """
 
 from __future__ import annotations
@@ -40,6 +43,9 @@ TEMPLATES = (
     ("all-rights-reserved", "All rights reserved."),
 )
 
+#: A run of words across lines may be so many times as long as the template: room for comment marks and a few added words.
+SPAN = 2
+
 #: Separators become spaces and A-Z lower case; bytes of other letters stay.
 _MAP = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
@@ -55,13 +61,14 @@ class Index:
 
     rank: dict[bytes, int]
     sets: tuple[tuple[str, tuple[int, ...], int], ...]
+    spans: tuple[int, ...]
     prefix: dict[int, tuple[tuple[int, int], ...]]
 
     @classmethod
     def build(cls, templates, frequency: dict[bytes, int], threshold: float) -> Index:
         vocabulary = sorted({w for _, t in templates for w in words_of(t)}, key=lambda w: (frequency.get(w, 0), w))
         rank = {w: i for i, w in enumerate(vocabulary)}
-        sets, prefix = [], {}
+        sets, spans, prefix = [], [], {}
         for label, text in templates:
             ranks = tuple(sorted({rank[w] for w in words_of(text)}))
             if ranks:
@@ -69,7 +76,8 @@ class Index:
                 for i, r in enumerate(ranks[: len(ranks) - need + 1]):
                     prefix.setdefault(r, []).append((len(sets), i))
                 sets.append((label, ranks, need))
-        return cls(rank, tuple(sets), {r: tuple(v) for r, v in prefix.items()})
+                spans.append(SPAN * len(words_of(text)))
+        return cls(rank, tuple(sets), tuple(spans), {r: tuple(v) for r, v in prefix.items()})
 
     def matches(self, block: set[bytes]) -> list[tuple[int, int]]:
         """(template, words in common) of every template that the block meets."""
@@ -88,6 +96,37 @@ class Index:
                     found.append((t, common))
         return found
 
+    def runs(self, lines: list[list[bytes]]) -> list[tuple[int, int, int, int]]:
+        """(template, words in common, first line, last line) of the best run of words across lines, for each stretch of runs that share words."""
+        met = self.matches({w for line in lines for w in line})
+        if not met:
+            return []
+        ranks = [(at, no, self.rank[w]) for at, (no, w) in enumerate((no, w) for no, line in enumerate(lines) for w in line) if w in self.rank]
+        found = []
+        for t, _ in met:
+            _, own, need = self.sets[t]
+            held, stretch, left = Counter(), None, 0
+            places = [p for p in ranks if p[2] in own]
+            for at, no, r in places:
+                held[r] += 1
+                while at - places[left][0] >= self.spans[t] or held[places[left][2]] > 1:  # too far, or held again later
+                    held[places[left][2]] -= 1
+                    left += 1
+                first, common = places[left], sum(1 for n in held.values() if n)
+                if common < need or first[1] == no:
+                    continue
+                if stretch and first[0] <= stretch[1]:
+                    stretch[1] = at
+                    if common > stretch[0][1]:
+                        stretch[0] = (t, common, first[1], no)
+                else:
+                    if stretch:
+                        found.append(stretch[0])
+                    stretch = [(t, common, first[1], no), at]
+            if stretch:
+                found.append(stretch[0])
+        return found
+
 
 def word_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
     """How many documents hold each template word; partial counts come from each task."""
@@ -126,9 +165,11 @@ def license_scan(
     ``n_base`` counts all places where a phrase's words stand consecutively,
     ``first_word`` and ``last_word`` are the smallest and largest start (words
     from 0; null without any), ``base_labels`` their distinct labels;
-    ``labels`` adds those of the templates met by a line; ``score`` is 1 with a
-    base label, else the largest share of a template that a line contains (of
-    those met), else 0. ``blocks`` lists line number, label and share.
+    ``labels`` adds those of the templates met by a block; ``score`` is 1 with a
+    base label, else the largest share of a template that a block contains (of
+    those met), else 0. ``blocks`` lists line number, label and share: every line
+    that meets a template, then for each place where words across lines do, the
+    best run by its first line, unless one of its lines has as large a share.
 
     Edge cases: a null or empty text has no words, no labels and score 0; null
     ids stay null; repeated rows are scanned each; long texts are scanned whole;
@@ -155,12 +196,15 @@ def license_scan(
                 labels.add(label)
                 at = line.find(phrase, at + 1)
         blocks = []
-        if not rarest.isdisjoint(words):  # by the prefix filter no line of another text can meet a template
-            for no, raw in enumerate((text or "").split("\n")):
-                block = set(raw.encode("utf-8", "surrogatepass").translate(_MAP).split())
-                for t, common in index.matches(block):
-                    label, own, _ = index.sets[t]
-                    blocks.append({"line": no, "label": label, "score": common / len(own)})
+        if not rarest.isdisjoint(words):  # by the prefix filter no block of another text can meet a template
+            lines = [raw.encode("utf-8", "surrogatepass").translate(_MAP).split() for raw in (text or "").split("\n")]
+            met = [(no, t, common) for no, words_in in enumerate(lines) for t, common in index.matches(set(words_in))]
+            if len(lines) > 1:
+                best = {(no, t): common for no, t, common in met}
+                met += [(no, t, common) for t, common, no, last in index.runs(lines) if all(best.get((k, t), 0) < common for k in range(no, last + 1))]
+            for no, t, common in met:
+                label, own, _ = index.sets[t]
+                blocks.append({"line": no, "label": label, "score": common / len(own)})
         every = labels | {b["label"] for b in blocks}
         score = 1.0 if labels else max((b["score"] for b in blocks), default=0.0)
         return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)), ",".join(sorted(every)), score, blocks
