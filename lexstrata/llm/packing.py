@@ -31,12 +31,15 @@ from lexstrata.llm.common import maybe_broadcast, small_table, written
 #: Ids of a document end with this one.
 END_ID = 2
 
+#: The vocabulary's added token, which the rank file lacks: wherever its string stands in a text, it is this id.
+SPECIAL_TOKENS = (("<|endoftext|>", 50256),)
+
 
 @lru_cache(maxsize=2)
-def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
+def _encoding(path: str, pattern: str, special_tokens: tuple[tuple[str, int], ...] = SPECIAL_TOKENS) -> tiktoken.Encoding:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special_tokens))
 
 
 def fullest(counts: Counter, capacity: int) -> Counter:
@@ -85,7 +88,7 @@ def plan_bins(histogram: dict[int, int], max_len: int) -> list[tuple[int, int, i
     return rows
 
 
-def token_pieces(df: DataFrame, tokenizer_path: str, pattern: str, id_col: str, text_col: str, max_len: int) -> DataFrame:
+def token_pieces(df: DataFrame, tokenizer_path: str, pattern: str, id_col: str, text_col: str, max_len: int, special_tokens: tuple[tuple[str, int], ...] = SPECIAL_TOKENS) -> DataFrame:
     """``doc_id, piece, start, length, ids`` (little-endian 32-bit) with the task's number and the rank of the piece among its own of that length."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -93,14 +96,14 @@ def token_pieces(df: DataFrame, tokenizer_path: str, pattern: str, id_col: str,
     end = np.array([END_ID], np.uint32)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part = _encoding(tokenizer_path, pattern), TaskContext.get().partitionId()
+        coder, part = _encoding(tokenizer_path, pattern, special_tokens), TaskContext.get().partitionId()
         seen = np.zeros(max_len + 1, np.int64)
         for batch in batches:
             pa.default_memory_pool().release_unused()
             for i in range(0, batch.num_rows, 256):
                 ids_of, rows = batch.column(0).slice(i, 256), []
                 for row, text in enumerate(batch.column(1).slice(i, 256).to_pylist()):
-                    ids = np.append(coder.encode_to_numpy(text, disallowed_special=()), end) if text else end
+                    ids = np.append(coder.encode_to_numpy(text, allowed_special="all"), end) if text else end
                     n, at = len(ids), 0
                     piece, size = 0, (n - 1) % max_len + 1
                     while at < n:
@@ -116,22 +119,23 @@ def token_pieces(df: DataFrame, tokenizer_path: str, pattern: str, id_col: str,
     return docs.mapInArrow(encode, f"doc_id {id_type}, piece int, start long, length long, ids binary, part int, nth long")
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_len: int = 1024) -> DataFrame:
+def pack_documents(df: DataFrame, tokenizer_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_len: int = 1024, special_tokens: tuple[tuple[str, int], ...] = SPECIAL_TOKENS) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids, sequence_id, offset``.
 
     ``tokenizer_path`` is a rank file of a byte-level BPE and ``pattern`` its
-    splitting pattern; every document's ids end with ``END_ID``. A document of
+    splitting pattern; ``special_tokens`` are strings that are one id wherever they
+    stand in a text; every document's ids end with ``END_ID``. A document of
     more than ``max_len`` ids is cut into pieces of ``max_len`` ids, of which the
     first may be shorter. A sequence's pieces stand without gaps from offset 0.
 
     Edge cases: a null or empty text is the one id ``END_ID``; special-token
-    strings in a text are ordinary text; repeated rows are packed each; null ids
+    strings become their ids, as ``tokenizers`` does; repeated rows are packed each; null ids
     stay null; an empty table gives an empty result. Other columns of ``df`` are
     not read. The pieces are written once to the shared folder, so that ranks stay
     as they are if executors are lost.
     """
     spark = df.sparkSession
-    pieces = written(token_pieces(df, tokenizer_path, pattern, id_col, text_col, max_len), "pieces")
+    pieces = written(token_pieces(df, tokenizer_path, pattern, id_col, text_col, max_len, special_tokens), "pieces")
     counts = written(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -4,7 +4,9 @@ import textwrap
 
 import numpy as np
 
+from lexstrata.llm import queries as q
 from lexstrata.llm.license_scan import SPAN, TEMPLATES, Index, license_scan, words_of
+from lexstrata.llm.packing import pack_documents
 
 
 def test_wrapped_license_notices(spark):
@@ -44,3 +46,16 @@ def test_runs_across_lines_are_exact():
         assert got == want
         found += len(want)
     assert found > 100
+
+
+def test_packed_special_tokens(spark):
+    """The ids of texts that hold the added token's string are those of ``tokenizers``."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["end <|endoftext|> of", "<|endoftext|>", "a<|endoftext|><|endoftext|>  \n b", "<|<|endoftext|>|>", "<|ENDOFTEXT|> <|endoftext|", "word <|endoftext|>'s\n" * 500]
+    pieces = pack_documents(spark.createDataFrame(enumerate(texts), "doc_id long, text string"), *q.tokenizer()).collect()
+    for i, text in enumerate(texts):
+        ids = b"".join(bytes(r.ids) for r in sorted((r for r in pieces if r.doc_id == i), key=lambda r: r.piece))
+        assert np.frombuffer(ids, "<u4").tolist() == [*coder.encode(text, add_special_tokens=False).ids, 2]
