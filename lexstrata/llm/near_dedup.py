@@ -179,7 +179,7 @@ def left_apart(docs: DataFrame, first: DataFrame, found: DataFrame, percent: int
     the smallest r that both met. So a group's pairs are not enumerated.
     """
     comp = found.select(F.col("node").alias("a"), "component")
-    edges = first.select("a", "b").join(comp, "a", "left").withColumn("comp", F.coalesce("component", "a"))
+    edges = first.select("a", "b").distinct().join(comp, "a", "left").withColumn("comp", F.coalesce("component", "a"))
     sizes = edges.groupBy("b", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("b").agg(F.max_by("comp", "k").alias("major"), F.count(F.lit(1)).alias("comps"))
     meet = written(sizes.filter("comps > 1").select("b", "major"), "meet")
     n_meet = meet.count()
@@ -188,8 +188,9 @@ def left_apart(docs: DataFrame, first: DataFrame, found: DataFrame, percent: int
     around = written(edges.join(maybe_broadcast(meet, n_meet), "b").select("a", "b", "comp", (F.col("comp") != F.col("major")).alias("odd")), "around")
     met = around.groupBy("a").agg(F.collect_set("b").alias("rs"))  # at most one for each table
     spelled = compared(docs, around.select("a", "b"), around.count(), spell=True).join(around.join(met, "a"), ["a", "b"])
-    spelled = written(spelled.select(F.col("a").alias("id"), F.col("b").alias("r"), F.col("n_a").alias("n"), F.col("common").alias("i"), "comp", "odd", "rs", "own"), "spelled")
-    side = lambda df, name, *more: df.select("r", *(F.col(k).alias(f"{name}_{k}") for k in ("id", "n", "i", "comp", "rs")), *more)
+    spelled = spelled.select(F.col("a").alias("id"), F.col("b").alias("r"), F.col("n_a").alias("n"), F.col("common").alias("i"), "comp", "odd", "rs", "own", F.xxhash64("own").alias("text"))
+    spelled = written(spelled.dropDuplicates(["id", "r", "n", "i", "text"]), "spelled")  # rows that share an id: each of its sets once
+    side = lambda df, name, *more: df.select("r", *(F.col(k).alias(f"{name}_{k}") for k in ("id", "n", "i", "comp", "rs", "text")), *more)
     apart_pair = "x_id <> y_id AND x_comp <> y_comp AND array_min(array_intersect(x_rs, y_rs)) = r"
     least = f"{percent} * (x_n + y_n) - {100 + percent} * least(x_i, y_i)"  # over 0: as many shingles by (100 + percent) must be shared outside r
 
@@ -201,14 +202,14 @@ def left_apart(docs: DataFrame, first: DataFrame, found: DataFrame, percent: int
     y = side(spelled, "y", band(F.col("n")).alias("band"))
     within = x.join(y, ["r", "band"]).filter(f"{apart_pair} AND {least} <= 0").select("x_id", "y_id")
 
-    loose = spelled.select("r", "id", "n", "i", "comp", "rs", "odd", F.explode("own").alias("s"))
+    loose = spelled.select("r", "id", "n", "i", "comp", "rs", "text", "odd", F.explode("own").alias("s"))
     loose = loose.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("r", "s")))
-    rank = F.row_number().over(Window.partitionBy("r", "id").orderBy("holders", "s"))
+    rank = F.row_number().over(Window.partitionBy("r", "id", "n", "i", "text").orderBy("holders", "s"))
     x = side(loose.filter("odd").withColumn("rank", rank).filter("holders > 1"), "x", "s", "rank")
     y = side(loose.filter("holders > 1"), "y", "s")
     shared = f"ceil(({least}) / {100 + percent})"
     shares = x.join(y, ["r", "s"]).filter(f"{apart_pair} AND {least} > 0 AND rank <= x_n - x_i - {shared} + least({shared}, {together}) AND {shared} <= y_n - y_i")
-    beyond = shares.groupBy("r", "x_id", "y_id").agg(F.count(F.lit(1)).alias("met"), F.first(F.expr(f"least({shared}, {together})")).alias("asked")).filter("met >= asked").select("x_id", "y_id")
+    beyond = shares.groupBy("r", "x_id", "y_id", "x_n", "y_n", "x_i", "y_i", "x_text", "y_text").agg(F.count(F.lit(1)).alias("met"), F.first(F.expr(f"least({shared}, {together})")).alias("asked")).filter("met >= asked").select("x_id", "y_id")
 
     pairs = within.unionByName(beyond).select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")).distinct()
     return pairs.join(first, ["a", "b"], "left_anti")

@@ -6,6 +6,7 @@ import numpy as np
 
 from lexstrata.llm import queries as q
 from lexstrata.llm.license_scan import SPAN, TEMPLATES, Index, license_scan, words_of
+from lexstrata.llm.near_dedup import compared, left_apart
 from lexstrata.llm.packing import pack_documents
 
 
@@ -59,3 +60,18 @@ def test_packed_special_tokens(spark):
     for i, text in enumerate(texts):
         ids = b"".join(bytes(r.ids) for r in sorted((r for r in pieces if r.doc_id == i), key=lambda r: r.piece))
         assert np.frombuffer(ids, "<u4").tolist() == [*coder.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_second_round_with_repeated_rows(spark):
+    """Repeated rows of a document do not hide its shared shingles behind its own edits."""
+    base = [f"r{i}" for i in range(120)]
+    both = base[:60] + [f"c{i}" for i in range(60)]
+    edited = lambda k: " ".join([*both, *(f"edit{k}_{i}" for i in range(6))])
+    rows = [(0, " ".join(base)), (1, edited(1)), (2, edited(2))]
+    pairs = spark.createDataFrame([(1, 0), (2, 0)], "a long, b long")
+    apart = spark.createDataFrame([], "node long, component long")
+    for times in (1, 2, 4):
+        docs = spark.createDataFrame(rows * times, "doc_id long, text string")
+        first = compared(docs, pairs)
+        assert first.filter("100 * common >= 80 * (n_a + n_b - common)").count() == 0
+        assert [tuple(r) for r in left_apart(docs, first, apart, 80).collect()] == [(2, 1)], times
