@@ -121,3 +121,17 @@ def period_range(period: Column) -> Column:
 def months_between(lo: Column, hi: Column) -> Column:
     """First days of months, newest first."""
     return F.reverse(F.sequence(F.trunc(lo, "month"), F.trunc(hi, "month"), F.expr("INTERVAL 1 MONTH")))
+
+
+def utc_stamp(text: Column) -> Column:
+    """An ISO time stamp as a UTC timestamp; without an offset it is UTC. Null if missing or malformed."""
+    t = F.regexp_replace(F.nullif(F.trim(text), F.lit("")), "Z$", "+00:00")
+    whole = F.when(t.rlike("^\\d{4}-\\d{2}-\\d{2}$"), F.concat(t, F.lit("T00:00:00+00:00"))).when(t.rlike("[+-]\\d{2}:?\\d{2}$"), t).otherwise(F.concat(t, F.lit("+00:00")))
+    return F.when(whole.rlike("^\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}"), F.try_to_timestamp(whole))
+
+
+def cutoff(spec: Column, now: Column, zone: str = "UTC") -> Column:
+    """The effective end of a snapshot: a date's end in ``zone``, or a time stamp, but no later than ``now``; ``now`` without either."""
+    day_end = F.to_utc_timestamp(F.concat(spec, F.lit(" 23:59:59")).try_cast("timestamp_ntz").cast("timestamp"), zone)
+    asked = F.when(F.coalesce(spec, F.lit("")) == "", now).when(F.length(spec) == 10, day_end).otherwise(utc_stamp(spec))
+    return F.least(asked, now)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexstrata.functions.arrays import let
+
 #: Letters and digits that count as one (always one character to one).
 NORM_FROM = "ёЁيىكۀة" + "٠١٢٣٤٥٦٧٨٩" + "۰۱۲۳۴۵۶۷۸۹"
 NORM_TO = "еЕییکهه" + "0123456789" + "0123456789"
@@ -32,9 +34,16 @@ def norm(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """``norm``, lower case and base letters of marked ones; Hangul syllables stay whole."""
+    """``norm``, lower case and base letters of marked ones; Hangul syllables stay whole. ASCII texts are only lower-cased."""
     a, b = _marks()
-    return F.translate(F.lower(norm(text)), a, b)
+    t = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(t) > F.length(t), F.translate(F.lower(norm(t)), a, b)).otherwise(F.lower(t))
+
+
+def fold_text(text: str) -> str:
+    """``fold`` of a driver's string."""
+    a, b = _marks()
+    return text.translate(str.maketrans(NORM_FROM, NORM_TO)).lower().translate(str.maketrans(a, b))
 
 
 def has_cjk(text: Column) -> Column:
@@ -74,24 +83,29 @@ def sentences(text: Column, limit: int = 300) -> Column:
     return F.filter(F.flatten(F.transform(parts, lambda s: cut_long(s, limit))), lambda s: F.length(s) >= 2)
 
 
-def _runs(folded: Column) -> Column:
-    return F.regexp_extract_all(folded, F.lit(f"([{CJK}]+|[\\p{{L}}\\p{{N}}&&[^{CJK}]]+)"), F.lit(1))
+def _spread(run: Column) -> Column:
+    """A run's own terms: of CJK letters each one and each pair, of others the run."""
+    n = F.length(run)
+    chars = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(run, i, F.lit(1)))
+    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(run, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    return F.when(run.rlike(f"^[{CJK}]"), F.concat(chars, pairs)).otherwise(F.array(run))
 
 
 def index_terms(text: Column) -> Column:
     """Index terms with repeats: folded words; of CJK runs each character and pair; digits over 4 long are left out."""
+    runs = f"([{CJK}]+|[\\p{{L}}\\p{{N}}&&[^{CJK}]]+)"
+
+    def terms(folded: Column, words: str, digit: str) -> Column:
+        # one look at the whole text for long numbers saves one at each word
+        every = F.regexp_extract_all(folded, F.lit(words), F.lit(1))
+        return let(every, lambda w: F.when(folded.rlike(f"{digit}{{5}}"), F.filter(w, lambda x: ~x.rlike(f"^{digit}{{5,}}$"))).otherwise(w))
 
-    def spread(run: Column) -> Column:
-        n = F.length(run)
-        chars = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(run, i, F.lit(1)))
-        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(run, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-        return F.when(run.rlike(f"^[{CJK}]"), F.concat(chars, pairs)).otherwise(F.array(run))
+    def other(folded: Column) -> Column:
+        cjk = F.flatten(F.transform(terms(folded, runs, "\\p{Nd}"), _spread))
+        return F.when(folded.rlike(f"[{CJK}]"), cjk).otherwise(terms(folded, "([\\p{L}\\p{N}]+)", "\\p{Nd}"))
 
-    # most texts have neither long numbers nor CJK letters: one look at the whole text saves one at each word
-    folded = fold(text)
-    short = lambda words: F.when(folded.rlike("\\p{Nd}{5}"), F.filter(words, lambda w: ~w.rlike("^\\p{Nd}{5,}$"))).otherwise(words)
-    plain = F.regexp_extract_all(folded, F.lit("([\\p{L}\\p{N}]+)"), F.lit(1))
-    return F.when(folded.rlike(f"[{CJK}]"), F.flatten(F.transform(short(_runs(folded)), spread))).otherwise(short(plain))
+    ascii_only = lambda t: F.octet_length(t) == F.length(t)
+    return let(F.coalesce(text, F.lit("")), lambda t: F.when(ascii_only(t), let(F.lower(t), lambda f: terms(f, "([a-z0-9]+)", "[0-9]"))).otherwise(let(fold(t), other)))
 
 
 def index_tokens(text: Column) -> Column:
@@ -175,3 +189,26 @@ def wayback_stamp(value: Column) -> Column:
 def speaker_prefix_removed(text: Column) -> Column:
     """Without a leading ``Name:`` of up to 40 characters."""
     return F.regexp_replace(text, "^[^:：\\n]{1,40}[:：]\\s*", "")
+
+
+def eligible(text: Column, lang: Column) -> Column:
+    """Whether a sentence is long enough to be labelled: 25 characters, 10 in CJK languages."""
+    return F.length(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\r\n"))) >= F.when(lang.isin("zh", "ko", "ja"), 10).otherwise(25)
+
+
+def ascii_digits(text: Column) -> Column:
+    """Persian and Arabic digits as ASCII ones."""
+    return F.translate(text, "٠١٢٣٤٥٦٧٨٩" + "۰۱۲۳۴۵۶۷۸۹", "0123456789" * 2)
+
+
+def fa_norm(text: Column) -> Column:
+    """Persian text with Arabic letters and digits folded and zero-width joiners as blanks."""
+    return F.trim(F.regexp_replace(F.translate(ascii_digits(F.coalesce(text, F.lit(""))), "يىكۀة", "ییکهه"), "[\\u200c\\u200d\\s]+", " "))
+
+
+def archive_link(url: Column, stored: Column) -> Column:
+    """A readable link to an archived page: from a stored link, a time stamp, or else the latest capture; empty without any."""
+    w, base = F.trim(F.coalesce(stored, F.lit(""))), "https://web.archive.org/web/"
+    link = F.when(w.rlike("^https?://"), F.regexp_replace(w, "(/web/\\d+)id_/", "$1/"))
+    link = link.when(w.rlike("^\\d{4,14}$"), F.concat(F.lit(base), w, F.lit("/"), F.coalesce(url, F.lit(""))))
+    return link.when(F.coalesce(url, F.lit("")) != "", F.concat(F.lit(base), url)).otherwise("")

@@ -4,45 +4,54 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexstrata.functions.text import bucket_of, index_terms
+from lexstrata.sources.shared import saved, small
 
 
-def first_sentences(sents: DataFrame, source: str, text: str, order: Sequence[Column]) -> DataFrame:
-    """Each sentence of a source once, in its newest document."""
-    return sents.withColumn("__r", F.row_number().over(Window.partitionBy(source, text).orderBy(*order))).filter("__r = 1").drop("__r")
+def first_sentences(sents: DataFrame, source: str, text: str, newest: Sequence[str]) -> DataFrame:
+    """Each sentence of a source once, in the row that is the largest by the columns ``newest``; repeats are combined map-side."""
+    rest = [c for c in sents.columns if c not in (source, text)]
+    best = F.max_by(F.struct(*rest), F.struct(*newest))
+    return sents.groupBy(source, text).agg(best.alias("__x")).select(source, text, *(F.col(f"__x.{c}") for c in rest)).select(*sents.columns)
 
 
 def size_shards(docs: DataFrame, keys: Sequence[str], order: Sequence[str], size: str, limit: int) -> DataFrame:
     """Adds ``shard``: documents in order, a shard ends once it holds ``limit`` bytes or more, and at each key.
 
     The cut is sequential within a key, so a key (a country's year) is streamed by
-    one task with constant memory; keys are dealt over the tasks.
+    one task with constant memory, and only keys, order and sizes go through it; the
+    shard numbers are joined back. ``order`` must tell the documents of a key apart.
     """
-    rows = docs.repartition(*keys).sortWithinPartitions(*keys, *order)
-    at = [docs.columns.index(k) for k in keys]
-    size_at = docs.columns.index(size)
+    slim = docs.select(*dict.fromkeys((*keys, *order, size))).repartition(*keys).sortWithinPartitions(*keys, *order)
+    names = slim.columns
+    at, size_at = [names.index(k) for k in keys], names.index(size)
 
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, shard = None, 0, 0
-        for pdf in parts:
-            out = []
-            for row in pdf.itertuples(index=False):
-                key = tuple(row[i] for i in at)
+        for batch in batches:
+            out = np.zeros(batch.num_rows, np.int32)
+            for i, (key, own) in enumerate(zip(zip(*(batch.column(c).to_pylist() for c in at)), batch.column(size_at).to_pylist())):
                 if key != now:
                     now, held, shard = key, 0, 0
-                out.append(shard)
-                held += int(row[size_at])
+                out[i] = shard
+                held += int(own or 0)
                 if held >= limit:
                     held, shard = 0, shard + 1
-            yield pdf.assign(shard=pd.Series(out, index=pdf.index, dtype="int32"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*names, "shard"])
 
     from pyspark.sql.types import IntegerType, StructField, StructType
 
-    return rows.mapInPandas(cut, StructType([*docs.schema.fields, StructField("shard", IntegerType())]))
+    on = list(dict.fromkeys((*keys, *order)))
+    cuts = slim.mapInArrow(cut, StructType([*slim.schema.fields, StructField("shard", IntegerType())])).select(*(F.col(c).alias(f"__{c}") for c in on), "shard")
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return docs.join(cuts, same).drop(*(f"__{c}" for c in on))
 
 
 def token_shards(docs: DataFrame, shard: str, title: str = "title", text: str = "text") -> DataFrame:
@@ -56,19 +65,29 @@ def shard_summary(docs: DataFrame, shard: str) -> DataFrame:
     return docs.groupBy(shard).agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_set("lang")).alias("langs"))
 
 
-def document_postings(docs: DataFrame, key: str, common: float = 0.3, text: str = "text", title: str = "title") -> DataFrame:
+def document_postings(docs: DataFrame, key: str, common: float = 0.3, text: str = "text", title: str = "title", block: int | None = None) -> DataFrame:
     """``token, n, posts``: sorted (document, count); a token of more than ``common`` of the documents gets n = -1 and none.
 
-    Counts are combined before they are gathered, and common tokens are taken out
-    before, so a list holds at most that share.
+    Texts are read once: counts by (token, document) are written to the shared folder,
+    and document frequencies and lists come from them. Common tokens are taken out
+    before lists are gathered. With ``block``, a list is cut into rows of at most
+    ``block`` documents (column ``block``, from 0), each made by a task of its own,
+    so no list grows with the corpus.
     """
-    tf = docs.select(F.col(key).alias("doc"), F.explode(index_terms(F.concat_ws("\n", title, text))).alias("token")).groupBy("token", "doc").agg(F.count(F.lit(1)).alias("c"))
+    rows = docs.select(F.col(key).alias("doc"), F.explode(index_terms(F.concat_ws("\n", title, text))).alias("token"))
+    tf = saved(rows.groupBy("token", "doc").agg(F.count(F.lit(1)).alias("c")), "postings")
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    total = docs.agg(F.count(F.lit(1)).alias("all"))
-    marked = df.crossJoin(F.broadcast(total)).select("token", "n", (F.col("n") > F.col("all") * common).alias("common"))
-    lists = tf.join(marked.filter("NOT common").select("token"), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("doc", "c"))).alias("posts"))
-    often = marked.filter("common").select("token", F.lit(-1).cast("long").alias("n"))
-    return lists.unionByName(often, allowMissingColumns=True)
+    total = docs.count()
+    often = df.filter(F.col("n") > total * common).select("token")
+    rare = tf.join(small(often), "token", "left_anti")
+    post = F.struct("doc", "c")
+    if block is None:
+        lists = rare.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(post)).alias("posts"))
+    else:
+        cuts = df.filter(F.col("n") <= total * common).filter(F.col("n") > block).select("token", "n")
+        wide = rare.join(small(cuts), "token", "left").withColumn("__b", F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") * 2 / block))))
+        lists = wide.groupBy("token", F.col("__b").alias("block")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(post)).alias("posts"))
+    return lists.unionByName(often.select("token", F.lit(-1).cast("long").alias("n")), allowMissingColumns=True)
 
 
 def delta(ids: Column) -> Column:

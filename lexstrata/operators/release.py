@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexstrata.sources.shared import small
+
 
 def metadata_only(source: Column, forwarded: Column, sources: Sequence[str]) -> Column:
     """Whether only metadata may be released."""
@@ -97,3 +100,53 @@ def write_csv(df: DataFrame, path: str) -> None:
 def write_jsonl(df: DataFrame, path: str, order: Sequence[str]) -> None:
     """Gzipped JSON lines in a fixed order within each file."""
     df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists").option("compression", "gzip").json(path)
+
+
+def semantic_rows(meta: DataFrame, tone: DataFrame, topic: DataFrame, mentions: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Released documents with what is known of them: tone and topic (either may be missing) and sorted targets.
+
+    ``meta`` has a row per released document; others are left out, as are documents
+    without tone and topic. Own targets (``self``) don't count.
+    """
+    known = tone.join(topic, key, "full_outer")
+    targets = mentions.filter(~F.col("self")).groupBy(key).agg(F.array_sort(F.collect_set("target")).alias("targets"))  # as many as there are targets
+    return meta.join(known, key).join(targets, key, "left")
+
+
+def shrunk(local: DataFrame, remote: DataFrame, append_only: Sequence[str], deletable: Sequence[str] = ()) -> DataFrame:
+    """``path, action`` for a manifest (``path, sha, bytes``): append-only files that became smaller are refused, missing ones are deleted only under ``deletable`` prefixes."""
+    under = lambda prefixes: F.lit(False) if not prefixes else F.col("path").rlike("^(?:" + "|".join(re.escape(p) for p in prefixes) + ")")
+    both = local.select("path", F.col("sha").alias("s1"), F.col("bytes").alias("b1")).join(remote.select("path", F.col("sha").alias("s2"), F.col("bytes").alias("b2")), "path", "full_outer")
+    action = F.when(F.col("s1").isNull(), F.when(under(deletable), "delete").otherwise("keep")).when(F.col("s2").isNull(), "add").when(F.col("s1") == F.col("s2"), "same")
+    return both.select("path", action.when(under(append_only) & (F.col("b1") < F.col("b2")), "refuse").otherwise("change").alias("action"))
+
+
+def line_deltas(before: DataFrame, after: DataFrame, key: str = "file", lines: str = "lines") -> DataFrame:
+    """``file, before, after, delta`` of a collection run; files without a change are left out."""
+    both = before.select(key, F.col(lines).alias("before")).join(after.select(key, F.col(lines).alias("after")), key, "full_outer").na.fill(0, ["before", "after"])
+    return both.withColumn("delta", F.col("after") - F.col("before")).filter("delta <> 0")
+
+
+def log_counts(lines: DataFrame, patterns: dict[str, str], column: str = "value") -> DataFrame:
+    """``pattern, n``: log lines that match each named pattern, in one pass."""
+    found = F.explode(F.array_compact(F.array(*(F.when(F.col(column).rlike(rx), F.lit(name)) for name, rx in patterns.items()))))
+    have = lines.select(found.alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    names = lines.sparkSession.createDataFrame([(n,) for n in patterns], "pattern string")
+    return names.join(have, "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def leaks(rows: DataFrame, official: DataFrame, allowed: Sequence[str], text: str = "text") -> DataFrame:
+    """``id, leak``: published texts of non-official outlets, texts that differ from the stored official one (by SHA-1), and fields that are not allowed.
+
+    A text that an official source published first and media reprint word for word is reported as ``reprint``, which is no leak.
+    """
+    extra = [c for c in rows.columns if c not in allowed and c not in ("id", "outlet", text)]
+    own = rows.join(official.select("id", F.sha1(F.col("text").cast("binary")).alias("__stored")), "id", "left")
+    known = small(official.select(F.sha1(F.col("text").cast("binary")).alias("__sha")).distinct().withColumn("__known", F.lit(True)))
+    own = own.withColumn("__sha", F.sha1(F.col(text).cast("binary"))).join(known, "__sha", "left")
+    field = F.lit(None).cast("string")
+    for c in reversed(extra):
+        field = F.when(F.col(c).isNotNull(), F.lit(f"field:{c}")).otherwise(field)
+    said = F.col(text).isNotNull()
+    leak = F.when(said & (F.col("outlet") == "official") & ~F.col("__sha").eqNullSafe(F.col("__stored")), "text_differs").when(said & ~F.col("outlet").eqNullSafe(F.lit("official")) & F.col("__known"), "reprint").when(said & ~F.col("outlet").eqNullSafe(F.lit("official")), "media_text").otherwise(field)
+    return own.select("id", leak.alias("leak")).filter("leak IS NOT NULL")

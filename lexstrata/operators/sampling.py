@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexstrata.sources.shared import small
+
 
 def held_out(key: Column, share: float = 0.2) -> Column:
     """Whether a key belongs to the hold-out: its CRC-32 modulo 1000."""
@@ -59,7 +63,7 @@ def active_pool(rows: DataFrame, dims: Sequence[str], per_dim: int, key: str) ->
     """The ``per_dim`` highest rows of each dimension in turn, none twice: ``key, dim``."""
     out = None
     for d in dims:
-        left = rows if out is None else rows.join(F.broadcast(out.select(key)), key, "left_anti")
+        left = rows if out is None else rows.join(small(out.select(key)), key, "left_anti")
         top = left.orderBy(F.desc(d), key).limit(per_dim).select(key, F.lit(d).alias("dim"))
         out = top if out is None else out.unionByName(top)
     return out
@@ -136,20 +140,29 @@ def fit_soft(df: DataFrame, features: str, target: str, keys: str, regs: Sequenc
     return model, best[1]
 
 
-def calibrate_intercept(z: DataFrame, column: str, mean: float, bins: float = 0.01) -> float:
-    """The shift that gives a logistic score the mean ``mean``, by bisection over a histogram of ``column`` (bounded by its range)."""
-    import math
-
-    hist = [(r["b"] * bins, r["n"]) for r in z.groupBy(F.round(F.col(column) / bins).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()]
-    total = sum(n for _, n in hist)
-    lo, hi = -20.0, 20.0
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        if sum(n / (1 + math.exp(-max(min(v + mid, 700), -700))) for v, n in hist) / total < mean:
-            lo = mid
-        else:
-            hi = mid
-    return (lo + hi) / 2
+def calibrate_intercept(z: DataFrame, column: str, mean: float, bins: float = 0.01, tolerance: float = 1e-9) -> float:
+    """The shift that gives a logistic score the mean ``mean``, within ``tolerance``, by Newton steps over a histogram of ``column`` (bounded by its range)."""
+    rows = z.groupBy(F.round(F.col(column) / bins).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+    values, n = np.array([r["b"] * bins for r in rows]), np.array([r["n"] for r in rows], np.float64)
+    target = min(max(mean, 1e-6), 1 - 1e-6)
+    shift = math.log(target / (1 - target)) - float(values @ n / n.sum())
+    for _ in range(200):
+        p = 0.5 * (1 + np.tanh((values + shift) / 2))
+        gap, slope = float(p @ n / n.sum()) - target, float((p * (1 - p)) @ n / n.sum())
+        if abs(gap) <= tolerance:
+            break
+        shift -= max(-2.0, min(2.0, gap / max(slope, 1e-12)))  # a long step would leave the range where the slope says anything
+    return shift
+
+
+def coder_agreement(coded: DataFrame, key: DataFrame, dims: Sequence[str], sample: str = "sample_id", coder: str = "coder", cut: float = 0.5) -> DataFrame:
+    """Agreement of each coder's 0/1 codes with a scorer: ``coder, dim, n, accuracy, kappa, f1, pearson, ...``.
+
+    ``coded`` and ``key`` meet on the sample's id; codes of unknown samples don't count.
+    """
+    both = coded.join(key.select(sample, *(F.col(d).alias(f"__{d}") for d in dims)), sample)
+    long = both.select(coder, F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).cast("int").alias("code"), (F.col(f"__{d}") >= cut).cast("int").alias("scored")) for d in dims))).alias("x")).select(coder, "x.*")
+    return agreement(long, "code", "scored", [coder, "dim"])
 
 
 def balanced(rows: DataFrame, strata: Sequence[str], most: int, key: str) -> DataFrame:

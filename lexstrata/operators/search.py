@@ -1,43 +1,73 @@
-"""The search language: lexer and parser, compilation to Columns, hits, context, facets and ranking.
+"""The search language: grammar, compilation to Columns, the token index, hits, context, facets and ranking.
 
 Queries are words, "phrases", prefix*, AND (or nothing), OR, NOT, NEAR/n and
-parentheses. A query without any operator is one phrase. The parser runs on the
-driver; what it makes is a boolean Column, so Catalyst sees an ordinary filter.
+parentheses. A query without any operator is one phrase. The driver turns it into
+a tree; a tree becomes a boolean Column, so Catalyst sees an ordinary filter, and
+an upper bound over the token index, so that only candidates are read in full.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexstrata.functions.text import CJK, NORM_FROM, NORM_TO, index_terms, norm
+from lexstrata.functions.arrays import let, match_spans, running
+from lexstrata.functions.text import CJK, NORM_FROM, NORM_TO, fold_text, index_terms, norm
+from lexstrata.sources.shared import saved, small
 
-_LEX = re.compile(r'"[^"]*"\*?|[()]|NEAR/\d+|[^\s()"]+')
-_WORDS = {"AND", "OR", "NOT"}
-_CJK = re.compile(f"[{CJK}]".encode().decode("unicode_escape"))
-#: A query letter also meets its variants.
-_VARIANTS = {"е": "[еёЕЁ]", "ی": "[یيى]", "ک": "[کك]", "ه": "[هۀة]"}
+Stem = Callable[[str], str]
+
+#: How tightly the operators bind. Two operands side by side are joined by AND.
+BINDING = {"OR": 1, "AND": 2, "NOT": 3, "NEAR": 4}
+#: Words between terms where NEAR gives no number, and how many word starts more it allows.
+NEAR_WORDS, NEAR_SLACK = 10, 4
 WORD = "[\\p{L}\\p{N}\\p{M}_]"
+GAP = "[^\\p{L}\\p{N}\\p{M}_]"
+_LEXEME = re.compile(r'\s*(?:(?P<paren>[()])|"(?P<quoted>[^"]*)"(?P<open>\*?)|(?P<op>AND|OR|NOT|NEAR(?:/(?P<n>\d+))?)(?=[\s()"]|$)|(?P<word>[^\s()"]+))')
+_CJK = re.compile(f"[{CJK}]".encode().decode("unicode_escape"))
+_TO_NORM = str.maketrans(NORM_FROM, NORM_TO)
 
 
 @dataclass(frozen=True)
 class Term:
-    """A word or phrase; ``forms`` are alternatives of its words by a stemmer."""
+    """A word or phrase; ``stems`` has a word's stem where a stemmer shortened it, else the word."""
 
     text: str
-    prefix: bool
-    words: tuple[str, ...]
-    regex: str
+    prefix: bool = False
+    stems: tuple[str, ...] = field(default=(), compare=False)
+
+    @property
+    def words(self) -> tuple[str, ...]:
+        return tuple(re.findall(r"\w+", self.text.lower()))
 
     @property
     def cjk(self) -> bool:
         return bool(_CJK.search(self.text))
 
+    @property
+    def parts(self) -> list[tuple[str, bool]]:
+        """Each word (or its stem) in lower case and whether more letters may follow."""
+        own = [(s, s != w) for w, s in zip(self.words, self.stems or self.words)]
+        return [(w, longer or (self.prefix and i == len(own) - 1)) for i, (w, longer) in enumerate(own)]
+
+    @property
+    def pattern(self) -> str:
+        """For normalised texts in lower case: whole words in sequence, but CJK letters anywhere."""
+        words = [re.escape(w) + (WORD + "*" if longer else "") for w, longer in self.parts]
+        if self.cjk:
+            return (GAP + "*").join(words)
+        last = "" if self.parts and self.parts[-1][1] else f"(?!{WORD})"
+        return f"(?<!{WORD})" + (GAP + "+").join(words) + last
+
+    @property
+    def regex(self) -> str:
+        """The pattern for normalised texts in any case."""
+        return "(?iu)" + self.pattern
+
 
 @dataclass(frozen=True)
 class Node:
@@ -48,146 +78,171 @@ class Node:
     n: int = 0
 
 
+#: Common endings of Russian words; the longest that fits comes off.
+ENDINGS = "иями ями ами ого ему ому ыми ими ией иях ов ев ей ой ий ый ая яя ое ее ые ие ам ям ах ях ом ем ую юю а я о е ы и у ю ь".split()
+
+
 def suffix_stem(word: str) -> str:
-    """A small stemmer for Russian words: common endings off, at least 4 letters left. Replace by any callable."""
-    for end in ("иями", "ями", "ами", "ого", "ему", "ому", "ыми", "ими", "ией", "иях", "ов", "ев", "ей", "ой", "ий", "ый", "ая", "яя", "ое", "ее", "ые", "ие", "ам", "ям", "ах", "ях", "ом", "ем", "ую", "юю", "а", "я", "о", "е", "ы", "и", "у", "ю", "ь"):
-        if word.endswith(end) and len(word) - len(end) >= 4:
-            return word[: -len(end)]
-    return word
-
-
-def make_term(raw: str, stem: Callable[[str], str] | None = None) -> Term:
-    """A term of the query text; with ``stem``, Cyrillic words match by their stem."""
-    prefix = raw.endswith("*")
-    text = raw.rstrip("*").strip('"').strip().translate(str.maketrans(NORM_FROM, NORM_TO))
-    words = re.findall(r"\w+", text)
-    letters = lambda w: "".join(_VARIANTS.get(c.lower(), re.escape(c)) for c in w)
-    cjk = bool(_CJK.search(text))
-    parts = []
-    for i, w in enumerate(words):
-        stemmed = stem(w.lower()) if stem and re.search("[а-яё]", w.lower()) and len(w) >= 4 else None
-        own = letters(stemmed) + WORD + "*" if stemmed and stemmed != w.lower() else letters(w)
-        parts.append(own + (WORD + "*" if prefix and i == len(words) - 1 else ""))
-    body = (f"[^{WORD[1:-1]}]*" if cjk else f"[^{WORD[1:-1]}]+").join(parts)
-    regex = body if cjk else f"(?<!{WORD}){body}" + ("" if prefix else f"(?!{WORD})")
-    return Term(text, prefix, tuple(w.lower() for w in words), "(?iu)" + regex)
-
-
-def parse(query: str, stem: Callable[[str], str] | None = None) -> Node:
-    """The query's tree; ValueError if it cannot be read."""
-    tokens = _LEX.findall(query.strip())
-    special = any(t in _WORDS or t in "()" or t[0] == '"' or t.startswith("NEAR") or t[-1] == "*" for t in tokens)
-    if not special:
-        return Node("term", (make_term(query.replace('"', ""), stem),))
-    at = 0
-
-    def peek() -> str:
-        return tokens[at] if at < len(tokens) else ""
-
-    def take() -> str:
-        nonlocal at
-        if at >= len(tokens):
-            raise ValueError("the query ends too early")
-        at += 1
-        return tokens[at - 1]
-
-    def single() -> Node:
-        t = take()
-        if t == "(":
-            inner = level_or()
-            if take() != ")":
-                raise ValueError("a ) is missing")
-            return inner
-        if t in _WORDS or t == ")" or t.startswith("NEAR"):
-            raise ValueError(f"{t} is not expected here")
-        return Node("term", (make_term(t, stem),))
-
-    def level_near() -> Node:
-        left = single()
-        while peek().startswith("NEAR"):
-            op = take()
-            right = single()
-            if left.kind not in ("term", "near") or right.kind != "term":
-                raise ValueError("NEAR joins terms")
-            left = Node("near", (*left.items, *right.items), int(op[5:]) if "/" in op else 10)
-        return left
-
-    def level_not() -> Node:
-        left = level_near()
-        while peek() == "NOT":
-            take()
-            left = Node("not", (left, level_near()))
-        return left
-
-    def level_and() -> Node:
-        items = [level_not()]
-        while peek() not in ("", "OR", ")"):
-            if peek() == "AND":
-                take()
-            items.append(level_not())
-        return items[0] if len(items) == 1 else Node("and", tuple(items))
-
-    def level_or() -> Node:
-        items = [level_and()]
-        while peek() == "OR":
-            take()
-            items.append(level_and())
-        return items[0] if len(items) == 1 else Node("or", tuple(items))
-
-    tree = level_or()
-    if at < len(tokens):
-        raise ValueError(f"{tokens[at]} is not expected here")
-    return tree
+    """A small stemmer for Russian words: an ending off, at least 4 letters left. Any callable can take its place."""
+    ends = [e for e in ENDINGS if word.endswith(e) and len(word) - len(e) >= 4]
+    return word[: -len(max(ends, key=len))] if ends else word
+
+
+@dataclass(frozen=True)
+class Forms:
+    """Expansion of a word by a table of its forms: forms that share their first letters become a prefix, others keep the stem of the stemmer."""
+
+    table: dict[str, tuple[str, ...]]
+    otherwise: Stem = suffix_stem
+    least: int = 4
+
+    def __call__(self, word: str) -> str:
+        forms = self.table.get(word)
+        if not forms:
+            return self.otherwise(word)
+        shared = word
+        for form in forms:
+            shared = shared[: next((i for i, (a, b) in enumerate(zip(shared, form)) if a != b), min(len(shared), len(form)))]
+        return shared if len(shared) >= self.least else word
+
+
+def term(text: str, prefix: bool = False, stem: Stem | None = None) -> Term:
+    """A term; with ``stem``, its Cyrillic words of 4 letters or more also match by their stem."""
+    plain = Term(text.translate(_TO_NORM).strip(), prefix)
+    if stem is None:
+        return plain
+    return Term(plain.text, prefix, tuple(stem(w) if len(w) >= 4 and re.search("[а-я]", w) else w for w in plain.words))
+
+
+def _lexemes(query: str) -> list[tuple[str, object]]:
+    """Kind and value: ``term`` (text, prefix), an operator (its number for NEAR) or a parenthesis."""
+    out, at, query = [], 0, query.strip()
+    while at < len(query):
+        m = _LEXEME.match(query, at)
+        if m is None:
+            raise ValueError(f"a quotation mark at {query[at:]!r} is not closed")
+        at = m.end()
+        if m["paren"]:
+            out.append((m["paren"], None))
+        elif m["op"]:
+            out.append((m["op"].partition("/")[0], int(m["n"] or NEAR_WORDS)))
+        elif m["quoted"] is not None:
+            out.append(("term", (m["quoted"], bool(m["open"]))))
+        else:
+            out.append(("term", (m["word"].rstrip("*"), m["word"].endswith("*"))))
+    return out
+
+
+def _joined(kind: str, n: int, left: Node, right: Node) -> Node:
+    """One tree of two; AND and OR of the same kind become one node with more items."""
+    if kind == "NEAR":
+        if left.kind not in ("term", "near") or right.kind != "term":
+            raise ValueError("NEAR joins terms only")
+        return Node("near", (*left.items, *right.items), n)
+    if kind == "NOT":
+        return Node("not", (left, right))
+    kind = kind.lower()
+    spread = lambda x: x.items if x.kind == kind else (x,)
+    return Node(kind, (*spread(left), *spread(right)))
+
+
+def parse(query: str, stem: Stem | None = None) -> Node:
+    """The query's tree by operator precedence, with a stack of operands and one of operators; ValueError if it cannot be read."""
+    lexemes = _lexemes(query)
+    if not lexemes:
+        raise ValueError("the query is empty")
+    if '"' not in query and all(kind == "term" and not value[1] for kind, value in lexemes):
+        return Node("term", (term(" ".join(value[0] for _, value in lexemes), stem=stem),))
+    operands: list[Node] = []
+    waiting: list[tuple[str, int]] = []
+
+    def settle(binding: int) -> None:
+        """Join what waits for an operator that binds less tightly."""
+        while waiting and BINDING.get(waiting[-1][0], 0) >= binding:
+            kind, n = waiting.pop()
+            right, left = operands.pop(), operands.pop()
+            operands.append(_joined(kind, n, left, right))
+
+    after_operand = False
+    for kind, value in lexemes:
+        if after_operand and kind in ("term", "("):
+            settle(BINDING["AND"])
+            waiting.append(("AND", 0))
+            after_operand = False
+        if kind == "term" and not after_operand:
+            operands.append(Node("term", (term(*value, stem),)))
+            after_operand = True
+        elif kind == "(":
+            waiting.append((kind, 0))
+        elif kind == ")" and after_operand:
+            settle(1)
+            if not waiting:
+                raise ValueError("a ) has no (")
+            waiting.pop()
+        elif kind in BINDING and after_operand:
+            settle(BINDING[kind])
+            waiting.append((kind, value))
+            after_operand = False
+        else:
+            raise ValueError(f"{kind} stands where a term is due")
+    if not after_operand:
+        raise ValueError("a term is due at the end")
+    settle(1)
+    if waiting:
+        raise ValueError("a ( has no )")
+    return operands[0]
 
 
 def terms_of(node: Node, positive: bool = False) -> list[Term]:
-    """The query's terms; with ``positive``, without what NOT takes away."""
-    if node.kind in ("term", "near"):
-        return list(node.items)
-    items = node.items[:1] if node.kind == "not" and positive else node.items
-    return [t for x in items for t in terms_of(x, positive)]
+    """The query's terms from left to right; with ``positive``, without what NOT takes away."""
+    out, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Term):
+            out.append(x)
+        else:
+            todo += reversed(x.items[:1] if positive and x.kind == "not" else x.items)
+    return out
 
 
-def word_starts(text: Column, regex: str) -> Column:
+def word_starts(text: Column, pattern: str) -> Column:
     """For each match, how many words start at or before it (NEAR counts in words)."""
-    # text before each match, by splitting at matches and adding up
-    matches = F.regexp_extract_all(text, F.lit(f"({regex})"), F.lit(1))
-    gaps = F.slice(F.split(text, regex, -1), F.lit(1), F.size(matches))
-    count = lambda s: F.regexp_count(s, F.lit(f"(?<!{WORD}){WORD}+"))
-    pairs = F.arrays_zip(gaps.alias("gap"), matches.alias("hit"))
-    first = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at"))
+    words = lambda s: F.regexp_count(s, F.lit(f"(?<!{WORD}){WORD}+")).cast("long")
+
+    def places(hits: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), words)
+        own = F.transform(hits, words)
+        return let(gaps, lambda g: F.zip_with(g, running(F.zip_with(g, own, lambda a, b: a + b)), lambda a, before: before + a + 1))
+
+    return let(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), places)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["n"] + count(x["gap"])
-        return F.struct((start + count(x["hit"])).cast("int").alias("n"), F.concat(acc["at"], F.array((start + 1).cast("int"))).alias("at"))
 
-    return F.aggregate(pairs, first, step, lambda acc: acc["at"])
+def _term_holds(t: Term, text: Column) -> Column:
+    """The longest word is looked for first, which is cheap; the pattern runs on texts that have it."""
+    longest = max((w for w, _ in t.parts), key=len, default="")
+    return text.contains(longest) & text.rlike(t.pattern)
 
 
 def compile_query(node: Node, text: Column) -> Column:
-    """The tree as a condition on a normalised text. The longest plain word of a term is tried first, which is cheap."""
-    if node.kind == "term":
-        return text.rlike(node.items[0].regex)
-    if node.kind == "not":
-        return compile_query(node.items[0], text) & ~compile_query(node.items[1], text)
-    if node.kind == "near":
-        found = [word_starts(text, t.regex) for t in node.items]
-        every = text.rlike(node.items[0].regex)
-        for t in node.items[1:]:
-            every &= text.rlike(t.regex)
-        close = F.exists(found[0], lambda p: _all([F.exists(f, lambda q: F.abs(p - q) <= node.n + 4) for f in found[1:]]))
-        return every & close
-    parts = [compile_query(x, text) for x in node.items]
-    out = parts[0]
-    for p in parts[1:]:
-        out = (out & p) if node.kind == "and" else (out | p)
-    return out
+    """The tree as a condition on a normalised text (any case)."""
+
+    def holds(x: Node, low: Column) -> Column:
+        if x.kind == "term":
+            return _term_holds(x.items[0], low)
+        if x.kind == "near":
+            return _all([_term_holds(t, low) for t in x.items]) & let(F.array(*(word_starts(low, t.pattern) for t in x.items)), lambda at: F.exists(at[0], lambda p: _all([F.exists(at[i], lambda q: F.abs(p - q) <= x.n + NEAR_SLACK) for i in range(1, len(x.items))])))
+        parts = [holds(y, low) for y in x.items]
+        if x.kind == "not":
+            return parts[0] & ~parts[1]
+        return _all(parts) if x.kind == "and" else ~_all([~p for p in parts])
+
+    return let(F.lower(text), lambda low: holds(node, low))
 
 
 def _all(conditions: Sequence[Column]) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out &= c
+    out = conditions[0] if conditions else F.lit(True)
+    for c in conditions[1:]:
+        out = out & c
     return out
 
 
@@ -220,7 +275,7 @@ class Plan:
     branches: tuple[Node, ...] = ()
 
 
-def plan_query(query: str, stem: Callable[[str], str] | None = None) -> Plan:
+def plan_query(query: str, stem: Stem | None = None) -> Plan:
     """Words go to the word condition; short CJK terms to a scan of CJK languages; an OR of both kinds to a union."""
     tree = parse(query, stem)
 
@@ -233,18 +288,74 @@ def plan_query(query: str, stem: Callable[[str], str] | None = None) -> Plan:
     return Plan(route(tree), tree)
 
 
-def search(docs: DataFrame, query: str, where: Column | None = None, stem: Callable[[str], str] | None = None) -> DataFrame:
-    """Matching documents; each branch of a union runs on its own and the first copy of an id stays."""
+def token_index(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The index over titles and texts, written to the shared folder: ``token, doc, tf`` and, under the empty token, each document's length.
+
+    One pass over the texts. A document's terms are combined by the task that reads
+    it; (token, document) deals the rest, so frequent tokens are spread. Files hold
+    sorted tokens, so a query's tokens prune pages by their statistics.
+    """
+    one = F.transform("t", lambda x: F.struct(x.alias("token"), F.lit(1).cast("long").alias("k")))
+    size = F.array(F.struct(F.lit("").alias("token"), F.size("t").cast("long").alias("k")))
+    rows = docs.select(F.col(key).alias("doc"), index_terms(F.concat_ws("\n", "title", "text")).alias("t")).select("doc", F.inline(F.concat(size, one)))
+    counts = rows.groupBy("token", "doc").agg(F.sum("k").alias("tf"))
+    return saved(counts.sortWithinPartitions("token", "doc"), "token-index")
+
+
+def index_words(t: Term) -> list[tuple[str, bool]]:
+    """A term's tokens in the index and whether longer ones count too; empty if the index cannot say anything about it."""
+    out = []
+    for word, longer in t.parts:
+        for run in re.findall(f"[{_CJK.pattern[1:-1]}]+|[^\\W_{_CJK.pattern[1:-1]}]+", fold_text(word)):
+            if _CJK.match(run):
+                out += [(run[i : i + 2], False) for i in range(len(run) - 1)] or [(run, False)]
+            elif not re.fullmatch(r"\d{5,}", run) and not t.cjk:
+                out.append((run, longer))
+    return list(dict.fromkeys(out))
+
+
+def candidates(index: DataFrame, node: Node) -> DataFrame | None:
+    """``doc`` of every document that can match, by one filtered scan of the index and one grouping; None if the index can't tell.
+
+    What NOT takes away is left to the exact condition, as are word order and distance.
+    """
+    wanted: dict[tuple[str, bool], int] = {}
+
+    def bound(x: Node | Term) -> Column | None:
+        if isinstance(x, Term):
+            flags = [F.col(f"f{wanted.setdefault(w, len(wanted))}") for w in index_words(x)]
+            return _all(flags) if flags else None
+        parts = [bound(y) for y in (x.items[:1] if x.kind == "not" else x.items)]
+        if x.kind == "or":
+            return None if any(p is None for p in parts) else ~_all([~p for p in parts])
+        known = [p for p in parts if p is not None]
+        return _all(known) if known else None
+
+    condition = bound(node)
+    if condition is None:
+        return None
+    token = F.col("token")
+    is_one = {w: token.startswith(w[0]) if w[1] else token == w[0] for w in wanted}
+    rows = index.filter(~_all([~c for c in is_one.values()]) & (token != ""))
+    flagged = rows.groupBy("doc").agg(*(F.bool_or(is_one[w]).alias(f"f{i}") for w, i in wanted.items()))
+    return flagged.filter(condition).select("doc")
+
+
+def search(docs: DataFrame, query: str, where: Column | None = None, stem: Stem | None = None, index: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """Matching documents; each branch of a union runs on its own and the first copy of an id stays.
+
+    With ``index`` (of ``token_index``), only documents that can match are read in
+    full; the exact condition then decides. Without it every text is read.
+    """
     plan = plan_query(query, stem)
     rows = docs if where is None else docs.filter(where)
 
     def run(node: Node) -> DataFrame:
-        own = rows
-        cjk = [t.text for t in terms_of(node, True) if t.cjk]
-        if cjk:
+        own, found = rows, candidates(index, node) if index is not None else None
+        if any(t.cjk for t in terms_of(node, True)):
             own = own.filter(F.col("lang").isin("zh", "ko", "ja"))
-            if node.kind in ("term", "and"):  # a cheap condition before the exact one
-                own = own.filter(searchable(F.col("title"), F.col("text")).contains(max(cjk, key=len)))
+        if found is not None:
+            own = own.join(small(found.withColumnRenamed("doc", key)), key, "left_semi")
         return own.filter(compile_query(node, searchable(F.col("title"), F.col("text"))))
 
     if plan.route != "union":
@@ -255,39 +366,41 @@ def search(docs: DataFrame, query: str, where: Column | None = None, stem: Calla
     return out.dropDuplicates(["id"])
 
 
-def hit_spans(text: Column, node: Node) -> Column:
-    """Spans ``struct<s, e>`` of the positive terms in start order; one that starts inside the one before is left out."""
-    regexes = [re.compile(_python(t.regex), re.I) for t in terms_of(node, True)]
-
-    @F.pandas_udf("array<struct<s:int,e:int>>")
-    def spans(texts: pd.Series) -> pd.Series:
-        def of(text):
-            found = sorted((m.start(), m.end()) for rx in regexes for m in rx.finditer(text or "") if m.end() > m.start())
-            out = []
-            for s, e in found:
-                if not out or s >= out[-1]["e"]:
-                    out.append({"s": s, "e": e})
-            return out
-
-        return texts.map(of)
+def _any_term(node: Node) -> str:
+    """One pattern of all positive terms; of those that start at the same place the one of fewer words is tried first."""
+    terms = sorted(set(terms_of(node, True)), key=lambda t: (len(t.words), len(t.text), t.text))
+    return "(?iu)" + "|".join(t.pattern for t in terms)
 
-    return spans(text)
 
-
-def _python(regex: str) -> str:
-    return regex.removeprefix("(?iu)").replace("[^\\p{L}\\p{N}\\p{M}_]", "\\W").replace(WORD, "\\w")
+def hit_spans(text: Column, node: Node) -> Column:
+    """Spans ``struct<s, e>`` (in characters) of the positive terms in start order; one that starts inside the one before is left out."""
+    return match_spans(norm(text), _any_term(node))
 
 
 def hits(node: Node, *texts: Column) -> Column:
-    """How many spans the texts have. A single term is counted by the JVM; several need merging."""
-    terms = terms_of(node, True)
-    counts = [F.regexp_count(t, F.lit(terms[0].regex)) if len(terms) == 1 else F.size(hit_spans(t, node)) for t in texts]
+    """How many spans the texts have."""
+    counts = [F.regexp_count(norm(t), F.lit(_any_term(node))) for t in texts]
     out = counts[0]
     for c in counts[1:]:
         out = out + c
     return out
 
 
+def hit_rows(docs: DataFrame, node: Node, keep: Sequence[str] = ("doc_id", "date", "country", "source"), width: int = 110) -> DataFrame:
+    """One row per hit for export: the ``keep`` columns, ``field`` (title or text), ``no`` from 1, and the hit with its context."""
+    parts = []
+    for name in ("title", "text"):
+        spans = docs.select(*keep, F.coalesce(name, F.lit("")).alias("__t")).select("*", F.posexplode(hit_spans(F.col("__t"), node)).alias("no", "x"))
+        parts.append(spans.select(*keep, F.lit(name).alias("field"), (F.col("no") + 1).alias("no"), kwic(F.col("__t"), F.col("x.s"), F.col("x.e"), width).alias("k")).select(*keep, "field", "no", "k.*"))
+    return parts[0].unionByName(parts[1])
+
+
+def with_hits(found: DataFrame, node: Node, most: int = 5000) -> DataFrame:
+    """Adds ``hits``; null for every row if more than ``most`` documents were found."""
+    few = found.limit(most + 1).count() <= most
+    return found.withColumn("hits", hits(node, F.col("title"), F.col("text")) if few else F.lit(None).cast("int"))
+
+
 def kwic(text: Column, start: Column, end: Column, width: int = 110) -> Column:
     """``struct<left, hit, right>`` around a span (0-based), trimmed to words, white space flattened."""
     flat = lambda x: F.regexp_replace(x, "\\s+", " ")
@@ -330,31 +443,28 @@ def page(found: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return found.orderBy(F.desc("date"), F.desc("doc_id")).offset(offset).limit(limit)
 
 
-def postings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``token, doc, tf`` of titles and texts."""
-    return docs.select(F.col(key).alias("doc"), F.explode(index_terms(F.concat_ws("\n", "title", "text"))).alias("token")).groupBy("token", "doc").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def match_all(posts: DataFrame, tokens: Sequence[str]) -> DataFrame:
     """Documents that hold every token: a filtered group-by instead of a chain of joins."""
     wanted = list(dict.fromkeys(tokens))
     return posts.filter(F.col("token").isin(wanted)).groupBy("doc").agg(F.count_distinct("token").alias("k")).filter(F.col("k") == len(wanted)).select("doc")
 
 
-def bm25(docs: DataFrame, tokens: Sequence[str], k1: float = 1.2, b: float = 0.75, key: str = "doc_id") -> DataFrame:
-    """``doc, score`` of documents that hold any of the tokens; the usual constants.
+def bm25(index: DataFrame, tokens: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """``doc, score`` of documents that hold any of the tokens, from the token index; the usual constants.
 
-    Lengths and the number of documents come from the same pass as the counts.
+    The lengths (rows of the empty token) and the query's tokens are all that is read.
     """
-    terms = index_terms(F.concat_ws("\n", "title", "text"))
-    wanted = F.array(*map(F.lit, dict.fromkeys(tokens)))
-    rows = docs.select(F.col(key).alias("doc"), terms.alias("t")).select("doc", F.size("t").alias("len"), F.filter("t", lambda x: F.array_contains(wanted, x)).alias("t"))
-    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean_len"))
-    tf = rows.select("doc", "len", F.explode("t").alias("token")).groupBy("doc", "len", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))  # at most as many rows as query tokens
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
-    return tf.join(F.broadcast(df), "token").crossJoin(F.broadcast(whole)).groupBy("doc").agg(F.sum(part).alias("score"))
+    wanted = list(dict.fromkeys(tokens))
+    lengths = index.filter(F.col("token") == "").select("doc", F.col("tf").alias("len"))
+    whole = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean_len")).first()
+    tf = index.filter(F.col("token").isin(wanted) & (F.col("token") != ""))
+    df = {r["token"]: r["df"] for r in tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")).collect()}  # a row per query token
+    if not df:
+        return tf.select("doc", F.lit(0.0).alias("score"))
+    of = F.create_map(*(x for t, n in sorted(df.items()) for x in (F.lit(t), F.lit(n))))[F.col("token")]
+    idf = F.log(1 + (F.lit(whole["n"]) - of + 0.5) / (of + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(whole["mean_len"])))
+    return tf.join(lengths, "doc").groupBy("doc").agg(F.sum(part).alias("score"))
 
 
 def term_report(docs: DataFrame, terms: Sequence[tuple[str, str]]) -> tuple[DataFrame | None, dict[str, str]]:
@@ -368,10 +478,17 @@ def term_report(docs: DataFrame, terms: Sequence[tuple[str, str]]) -> tuple[Data
     if not good:
         return None, bad
     text = searchable(F.col("title"), F.col("text"))
-    found = F.explode(F.array_compact(F.array(*(F.when(compile_query(n, text), F.struct(F.lit(label).alias("label"), hits(n, F.col("text")).cast("long").alias("hits"))) for label, n in good))))
+    found = F.explode(F.array_compact(F.array(*(F.when(compile_query(n, text), F.struct(F.lit(label).alias("label"), hits(n, F.col("title"), F.col("text")).cast("long").alias("hits"))) for label, n in good))))
     return docs.select("doc_id", "date", "country", "source", found.alias("x")).select("x.label", "doc_id", "date", "country", "source", "x.hits"), bad
 
 
+def report_totals(found: DataFrame) -> DataFrame:
+    """``label, docs, hits, first, last`` of a term report, and under the label null those of all distinct documents."""
+    by_label = found.groupBy("label").agg(F.count_distinct("doc_id").alias("docs"), F.sum("hits").alias("hits"), F.min("date").alias("first"), F.max("date").alias("last"))
+    whole = found.agg(F.count_distinct("doc_id").alias("docs"), F.sum("hits").alias("hits"), F.min("date").alias("first"), F.max("date").alias("last"))
+    return by_label.unionByName(whole.withColumn("label", F.lit(None).cast("string")))
+
+
 def read_terms(lines: Sequence[str]) -> list[tuple[str, str, str]]:
     """``(group, label, query)`` of a term file: ``## group`` lines, ``label | query`` lines, # comments."""
     out, group = [], ""

@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from uuid import uuid4
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexstrata.functions.arrays import let
+from lexstrata.sources.shared import dropped, saved, small
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
 def unit(a: Column) -> Column:
-    """The vector divided by its length; a zero vector stays."""
-    n = F.sqrt(dot(a, a))
-    return F.when(n > 0, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    """The vector divided by its length; a zero vector stays. The length is computed once."""
+    return let(F.transform(a, lambda x: x.cast("double")), lambda v: let(F.sqrt(dot(v, v)), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)))
 
 
 def top_k(rows: DataFrame, query: Column, k: int, vector: str = "embedding", group: str | None = None, tie: str = "vec_id") -> DataFrame:
@@ -46,33 +49,26 @@ def echo_edges(rows: DataFrame, threshold: float, window: int = 14, key: str = "
 
 
 def components(edges: DataFrame, src: str = "i", dst: str = "j", most_rounds: int = 50) -> DataFrame:
-    """``node, component`` (its smallest node) by min-label steps with pointer jumping; each round is checkpointed to the shared folder."""
-    spark = edges.sparkSession
-    both = edges.select(F.col(src).alias("x"), F.col(dst).alias("y")).unionByName(edges.select(F.col(dst).alias("x"), F.col(src).alias("y"))).distinct()
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        import tempfile
-
-        at = tempfile.mkdtemp(prefix="lexstrata-")
-        spark.conf.set("spark.checkpoint.dir", at)
-
-    def saved(df: DataFrame) -> DataFrame:
-        path = f"{at.rstrip('/')}/components-{uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    both = saved(both)
-    labels = saved(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")))
+    """``node, component`` (its smallest node) by min-label steps with pointer jumping; each round is a table in the shared folder.
+
+    The edges are written first, so whatever makes them runs once.
+    """
+    once = saved(edges.select(F.col(src).alias("x"), F.col(dst).alias("y")), "edges")
+    both = saved(once.unionByName(once.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
+    dropped(once)
+    labels = saved(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")), "labels")
     for _ in range(most_rounds):
         near = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("component").alias("m"))
-        step = labels.join(near, F.col("node") == F.col("x")).select("node", F.least("component", "m").alias("component"))
-        jump = step.alias("a").join(step.select(F.col("node").alias("n2"), F.col("component").alias("c2")), F.col("component") == F.col("n2"), "left")
-        new = saved(jump.select("node", F.least("component", F.coalesce("c2", "component")).alias("component")))
-        changed = new.join(labels.withColumnRenamed("component", "old"), "node").filter("component <> old").limit(1).count()
-        labels = new
+        step = saved(labels.join(near, F.col("node") == F.col("x")).select("node", F.col("component").alias("old"), F.least("component", "m").alias("component")), "labels")
+        roots = step.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
+        new = saved(step.join(roots, F.col("component") == F.col("n2"), "left").select("node", "old", F.least("component", F.coalesce("c2", "component")).alias("component")), "labels")
+        changed = new.filter("component <> old").limit(1).count()
+        dropped(labels)
+        dropped(step)
+        labels, path = new.drop("old"), new._lexstrata_path
+        labels._lexstrata_path = path
         if not changed:
+            dropped(both)
             return labels
     raise RuntimeError("the components have not settled")
 
@@ -110,17 +106,37 @@ def mean_vectors(rows: DataFrame, keys: Sequence[str], vector: str = "embedding"
 def centred(rows: DataFrame, lang: str, vector: str = "embedding", least: int = 20) -> DataFrame:
     """Vectors minus their language's mean (of languages with at least ``least`` rows), unit length."""
     means = mean_vectors(rows, [lang], vector, normalised=False).filter(F.col("n") >= least).select(F.col(lang).alias("__l"), F.col("centroid").alias("__m"))
-    out = rows.join(F.broadcast(means), F.col(lang) == F.col("__l"), "left")
+    out = rows.join(small(means), F.col(lang) == F.col("__l"), "left")
     moved = F.when(F.col("__m").isNotNull(), F.zip_with(vector, "__m", lambda x, m: x.cast("double") - m)).otherwise(F.transform(vector, lambda x: x.cast("double")))
     return out.withColumn(vector, unit(moved)).drop("__l", "__m")
 
 
-def assign(rows: DataFrame, centroids: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Adds ``topic, sim`` of the nearest centroid (ties: the smaller topic). Centroids (``topic, centroid``) are few and are broadcast."""
-    every = centroids.agg(F.array_sort(F.collect_list(F.struct("topic", "centroid"))).alias("__c"))
-    sims = F.transform("__c", lambda c: F.struct(dot(unit(F.col(vector)), c["centroid"]).alias("sim"), (-c["topic"]).alias("neg")))
-    out = rows.crossJoin(F.broadcast(every)).withColumn("__b", F.array_max(sims))
-    return out.withColumn("topic", -F.col("__b.neg")).withColumn("sim", F.col("__b.sim")).drop("__c", "__b")
+def assign(rows: DataFrame, centroids: DataFrame, vector: str = "embedding", key: str = "topic") -> DataFrame:
+    """Adds ``topic, sim`` of the nearest centroid (ties: the smaller topic).
+
+    Centroids (``topic, centroid``) are a model's and few: the driver reads them and
+    each Arrow batch is one matrix product with them.
+    """
+    model = sorted(((r[key], r["centroid"]) for r in centroids.select(key, "centroid").collect()), key=lambda x: x[0])
+    topics, matrix = [t for t, _ in model], np.array([c for _, c in model], np.float64)
+    kind, at = pa.int32() if dict(centroids.dtypes)[key] == "int" else pa.int64(), rows.columns.index(vector)
+    names = [*rows.columns, "topic", "sim"]
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(at))
+            length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            sims = np.divide(x, length, out=x.copy(), where=length > 0) @ matrix.T
+            best = sims.argmax(axis=1) if len(x) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([topics[i] for i in best], kind), pa.array(sims[np.arange(len(x)), best])], names=names)
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    return rows.mapInArrow(nearest, f"{schema}, topic {dict(centroids.dtypes)[key]}, sim double")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """An Arrow list column of vectors of one length as a matrix."""
+    return np.array(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def exemplars(assigned: DataFrame, k: int = 3, pool: int = 400, key: str = "vec_id") -> DataFrame:
@@ -157,7 +173,7 @@ def topic_terms(docs: DataFrame, tokens: Column, k: int = 8, least: int = 3, top
     of_word, of_topic = Window.partitionBy("lang", "word"), Window.partitionBy("lang", "topic")
     rows = df.withColumn("f", F.sum("v").over(of_word)).withColumn("total", F.sum("v").over(of_topic))
     mean = rows.groupBy("lang").agg((F.sum("v") / F.count_distinct("topic")).alias("mean"))
-    rows = rows.filter((F.col("v") >= least) & (F.col("total") >= topic_least)).join(F.broadcast(mean), "lang")
+    rows = rows.filter((F.col("v") >= least) & (F.col("total") >= topic_least)).join(small(mean), "lang")
     rows = rows.withColumn("weight", F.col("v") / F.col("total") * F.log(1 + F.col("mean") / F.col("f")))
     rows = rows.withColumn("r", F.row_number().over(of_topic.orderBy(F.desc(F.round("weight", 9)), "word"))).filter(F.col("r") <= k)
     return rows.groupBy("lang", "topic").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]).alias("terms"))
@@ -180,3 +196,46 @@ def template_titles(passages: DataFrame, title_key: Column, least: int = 3) -> D
     """Adds ``template``: whether a title passage's normalised title occurs at least ``least`` times among its source's title passages."""
     n = F.count(F.lit(1)).over(Window.partitionBy("source", "__k"))
     return passages.withColumn("__k", title_key).withColumn("template", n >= least).drop("__k")
+
+
+def echo_candidates(passages: DataFrame, title_key: Column, least: int = 60, least_cjk: int = 24, framing: Sequence[str] = ("article", "headline")) -> DataFrame:
+    """Passages worth comparing: long enough for their script, dated, no template title; titles only of articles and headlines.
+
+    Columns read: ``source, lang, date, kind, text, is_title``.
+    """
+    long = F.length("text") >= F.when(F.col("lang").isin("zh", "ko", "ja"), least_cjk).otherwise(least)
+    titles = template_titles(passages.filter("is_title"), title_key).filter("NOT template").drop("template")
+    rows = passages.filter("NOT is_title").unionByName(titles.filter(F.col("kind").isin(list(framing))))
+    return rows.filter(long & F.col("date").isNotNull())
+
+
+def top_clusters(members: DataFrame, most: int = 500, shown: int = 12) -> DataFrame:
+    """The widest clusters with their first members: ``place, component, n_countries, n_members, countries, official, first_day, members``.
+
+    Order: more countries, more official countries, more members, the later first day,
+    then the smaller component. ``members`` has ``component, node, day, country, outlet``;
+    of each cluster only the first ``shown`` by day are gathered, whatever its size.
+    """
+    first = Window.partitionBy("component").orderBy("day", "node")
+    heads = members.withColumn("__r", F.row_number().over(first)).filter(F.col("__r") <= shown).groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", "node"))), lambda x: x["node"]).alias("members"))
+    seen = members.groupBy("component", "country").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("day", "node")).alias("at"), F.min(F.when(F.col("outlet") == "official", F.struct("day", "node"))).alias("off"))
+    names = lambda at: F.transform(F.array_sort(F.filter(F.collect_list(F.struct(F.col(at).alias("at"), "country")), lambda x: x["at"].isNotNull())), lambda x: x["country"])
+    sizes = seen.groupBy("component").agg(F.sum("k").alias("n_members"), names("at").alias("countries"), names("off").alias("official"), F.min("at.day").alias("first_day"))
+    rows = sizes.withColumn("n_countries", F.size("countries"))
+    best = rows.orderBy(F.desc("n_countries"), F.desc(F.size("official")), F.desc("n_members"), F.desc("first_day"), "component").limit(most)
+    place = F.row_number().over(Window.orderBy(F.desc("n_countries"), F.desc(F.size("official")), F.desc("n_members"), F.desc("first_day"), "component"))  # of at most ``most`` rows
+    return best.withColumn("place", place).join(heads, "component")
+
+
+def cluster_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """``component, a, b, sim``: edges by the members' places in their cluster (by day, then id; from 0)."""
+    placed = members.select("component", "node", (F.row_number().over(Window.partitionBy("component").orderBy("day", "node")) - 1).alias("p"))
+    rows = edges.join(placed.select("component", F.col("node").alias("i"), F.col("p").alias("pi")), "i").join(placed.select(F.col("node").alias("j"), F.col("p").alias("pj")), "j")
+    return rows.select("component", F.least("pi", "pj").alias("a"), F.greatest("pi", "pj").alias("b"), F.round("sim", 4).alias("sim")).distinct()
+
+
+def counters(rows: DataFrame, key: str, value: str, missing: str = "?") -> DataFrame:
+    """``key, counts``: how often each value occurs, commonest first (ties by name), as ``struct<value, n>``."""
+    n = rows.groupBy(key, F.coalesce(F.col(value), F.lit(missing)).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), "value")))
+    return n.groupBy(key).agg(F.transform(order, lambda x: F.struct(x["value"].alias("value"), (-x["neg"]).alias("n"))).alias("counts"))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexstrata.functions.text import crc31
+from lexstrata.operators import coverage as C
 from lexstrata.operators import gazetteer as G
 from lexstrata.operators import ingest as I
+from lexstrata.operators import models as M
 from lexstrata.operators import release as R
 from lexstrata.operators import sampling as P
 from lexstrata.operators.series import period_of, share_series, stream_of
@@ -30,10 +33,12 @@ def _sents(spark, sf_dir):
 
 @query("gaz_mentions", f"{_M} SELECT doc_id, idx, target, pat, self FROM m")
 def gaz_mentions(spark, sf_dir):
-    return G.mentions_plain(_sents(spark, sf_dir), PATTERNS).select("doc_id", "idx", "target", "pat", "self")
+    return G.mentions(_sents(spark, sf_dir), PATTERNS).select("doc_id", "idx", "target", "pat", "self")
 
 
-@query("gaz_mentions_vetoed")
+@query("gaz_mentions_vetoed", f"""WITH {DOCS_SQL}, {SENTS_SQL}, x AS (SELECT CASE WHEN lang IN ('en', 'de') THEN lang ELSE 'en' END AS lang, sent FROM sents JOIN docs USING (doc_id))
+SELECT 'license' AS target, 0 AS pat, count(*) AS n FROM x WHERE lang = 'en' AND regexp_matches(sent, '\\b[Ll]icense\\b') HAVING count(*) > 0 UNION ALL SELECT 'license', 1, count(*) FROM x WHERE lang = 'de' AND regexp_matches(sent, '\\b[Ll]icense\\b') HAVING count(*) > 0
+UNION ALL SELECT 'mit', 2, count(*) FROM x WHERE lang = 'en' AND regexp_matches(replace(sent, 'MIT License', '#'), '\\bMIT\\b') HAVING count(*) > 0""")
 def gaz_mentions_vetoed(spark, sf_dir):
     pats = [*PATTERNS[:2], G.Pattern("mit", "en", r"\bMIT\b", veto=r"MIT License")]
     return G.mentions(_sents(spark, sf_dir), pats).groupBy("target", "pat").agg(F.count(F.lit(1)).alias("n"))
@@ -42,14 +47,14 @@ def gaz_mentions_vetoed(spark, sf_dir):
 @query("gaz_pattern_audit", f"""{_M}, c AS (SELECT pat, country, count(DISTINCT (doc_id, idx)) AS s, count(DISTINCT doc_id) AS d, count(*) FILTER (self) AS o FROM m GROUP BY 1, 2)
 SELECT pat, sum(s)::BIGINT AS sentences, sum(d)::BIGINT AS docs, round(sum(o)::DOUBLE / sum(s), 6) AS self_share FROM c GROUP BY 1""")
 def gaz_pattern_audit(spark, sf_dir):
-    found = G.mentions_plain(_sents(spark, sf_dir), PATTERNS)
+    found = G.mentions(_sents(spark, sf_dir), PATTERNS)
     return G.pattern_audit(found, len(PATTERNS)).select("pat", "sentences", "docs", F.round("self_share", 6).alias("self_share"))
 
 
 @query("stance_by_target", f"""{_M} SELECT doc_id, target, count(*) AS n, round(avg(hostility) / 1000, 6) AS hostility, round(avg(threat) / 1000, 6) AS threat
 FROM (SELECT DISTINCT doc_id, idx, target FROM m WHERE NOT self) JOIN scores USING (doc_id, idx) GROUP BY 1, 2""")
 def stance_by_target(spark, sf_dir):
-    found = G.mentions_plain(_sents(spark, sf_dir), PATTERNS)
+    found = G.mentions(_sents(spark, sf_dir), PATTERNS)
     out = G.stance(found, scored_sentences(spark, sf_dir), ["hostility", "threat"])
     return out.select("doc_id", "target", "n", F.round("hostility", 6).alias("hostility"), F.round("threat", 6).alias("threat"))
 
@@ -60,7 +65,7 @@ v AS (SELECT DISTINCT stream, target FROM h)
 SELECT stream, period, target, n, coalesce(k, 0) AS k, round(coalesce(k, 0)::DOUBLE / n, 6) AS mean FROM t JOIN v USING (stream) LEFT JOIN h USING (stream, period, target)""")
 def salience_share(spark, sf_dir):
     d = docs(spark, sf_dir).filter("sample IS NULL").select("doc_id", F.concat_ws("|", "source", "lang").alias("stream"), period_of(F.col("date"), "month").alias("period"))
-    found = G.mentions_plain(_sents(spark, sf_dir), PATTERNS).filter(~F.col("self")).select("doc_id", "target").distinct()
+    found = G.mentions(_sents(spark, sf_dir), PATTERNS).filter(~F.col("self")).select("doc_id", "target").distinct()
     hits = d.join(found, "doc_id").groupBy("stream", "period", "target").agg(F.count(F.lit(1)).alias("k"))
     return share_series(hits, d.groupBy("stream", "period").agg(F.count(F.lit(1)).alias("n")), ["target"]).select("stream", "period", "target", "n", "k", F.round("mean", 6).alias("mean"))
 
@@ -68,7 +73,7 @@ def salience_share(spark, sf_dir):
 @query("scoring_scope", f"""{_M}, f AS (SELECT DISTINCT doc_id, idx, TRUE AS hit FROM m) SELECT doc_id, count(*) FILTER ((idx < 3 OR coalesce(hit, FALSE)) AND idx < 400 AND length(sent) >= 15) AS n FROM sents LEFT JOIN f USING (doc_id, idx) GROUP BY 1""")
 def scoring_scope(spark, sf_dir):
     s = _sents(spark, sf_dir)
-    hit = G.mentions_plain(s, PATTERNS).select("doc_id", "idx", F.lit(True).alias("hit")).distinct()
+    hit = G.mentions(s, PATTERNS).select("doc_id", "idx", F.lit(True).alias("hit")).distinct()
     rows = s.join(hit, ["doc_id", "idx"], "left")
     # the default takes the first 80 sentences; 3 here, as the texts are short
     ok = ((F.col("idx") < 3) | F.coalesce("hit", F.lit(False))) & G.in_scope(F.lit(0), F.col("sent"), F.lit(True), F.col("lang")) & (F.col("idx") < 400)
@@ -77,10 +82,9 @@ def scoring_scope(spark, sf_dir):
 
 @query("sentence_crc_check", f"WITH {SENTS_SQL} SELECT doc_id, count(*) AS n FROM sents WHERE length(sent) > 0 AND doc_id % 7 <> 3 GROUP BY 1")
 def sentence_crc_check(spark, sf_dir):
-    s = scored_sentences(spark, sf_dir)
-    stored = s.select("doc_id", "idx", F.when(F.col("doc_id") % 7 == 3, F.lit(-1)).otherwise(F.crc32(F.col("sent").cast("binary")).bitwiseAND(F.lit(0x7FFFFFFF))).alias("crc"))
-    now = s.select("doc_id", "idx", F.crc32(F.col("sent").cast("binary")).bitwiseAND(F.lit(0x7FFFFFFF)).alias("crc"))
-    return now.join(stored, ["doc_id", "idx", "crc"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    s = scored_sentences(spark, sf_dir).select("doc_id", "idx", "sent")
+    stored = s.withColumn("crc", F.when(F.col("doc_id") % 7 == 3, F.lit(-1)).otherwise(crc31(F.col("sent")))).drop("sent")
+    return M.current(stored, s).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def dirty(spark, sf_dir):
@@ -206,8 +210,7 @@ def snapshot_status(spark, sf_dir):
 
 @query("outlet_majority", f"""WITH {DOCS_SQL}, n AS (SELECT source, outlet, count(*) AS n FROM docs GROUP BY 1, 2) SELECT source, arg_max(outlet, n) AS outlet FROM n GROUP BY 1""")
 def outlet_majority(spark, sf_dir):
-    n = docs(spark, sf_dir).groupBy("source", "outlet").agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy("source").agg(F.max_by("outlet", "n").alias("outlet"))
+    return C.majority(docs(spark, sf_dir), "source", "outlet")
 
 
 @query("metadata_only", f"WITH {DOCS_SQL} SELECT source, count(*) FILTER (source IN ('src4') OR doc_id % 13 = 0) AS n FROM docs GROUP BY 1")

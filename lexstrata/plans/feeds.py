@@ -11,6 +11,7 @@ from lexstrata.operators import events as E
 from lexstrata.operators import publish as X
 from lexstrata.operators import turns as U
 from lexstrata.plans.registry import query, table
+from lexstrata.sources.files import captures
 from lexstrata.sources.testdata import DOCS_SQL, docs
 from lexstrata.streaming import events as S
 
@@ -115,11 +116,12 @@ def pages_canonical_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", H.canonical_url(F.col("url")).alias("canonical"), H.native_id(F.col("url")).alias("native"))
 
 
-@query("pages_capture_argmax", r"""WITH k AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS k, length(html) AS n FROM pages WHERE length(html) >= 500) SELECT k, arg_max(page_id, (n, page_id)) AS page_id, max(n)::INT AS n FROM k GROUP BY 1""")
+@query("pages_capture_argmax", r"""WITH k AS (SELECT page_id, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') AS k, length(html) AS n, (page_id * 7919) % 100003 AS stamp FROM pages WHERE length(html) >= 500)
+SELECT k, arg_max(page_id, stamp) AS page_id, arg_max(n, stamp)::INT AS n FROM k GROUP BY 1""")
 def pages_capture_argmax(spark, sf_dir):
     k = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "/+$", "")
-    rows = table(spark, sf_dir, "pages").filter(F.length("html") >= 500).select(k.alias("k"), "page_id", F.length("html").alias("n"))
-    return rows.groupBy("k").agg(F.max_by("page_id", F.struct("n", "page_id")).alias("page_id"), F.max("n").alias("n"))
+    rows = table(spark, sf_dir, "pages").select(k.alias("k"), "page_id", F.length("html").alias("n"), ((F.col("page_id") * 7919) % 100003).alias("stamp"))
+    return captures(rows, "k", "stamp", "n", 500).select("k", "page_id", "n")
 
 
 @query("events_tumbling", """SELECT CAST(date_trunc('week', ts) AS TIMESTAMP) AS start, CAST(date_trunc('week', ts) + INTERVAL 7 DAY AS TIMESTAMP) AS "end", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3""")
@@ -175,9 +177,9 @@ def orders_event_window_grid(spark, sf_dir):
     return E.window_grid(_events(spark), days.select("stream").distinct(), days).select("event_id", "event_date", "stream", "offset", "date", "n")
 
 
-@query("orders_event_baseline", f"""WITH {_EVS}, {_DAYS} SELECT event_id, stream, round(sum(price * n) / sum(n) + 0.0000001, 4) AS base_mean, round(sum(n)::DOUBLE / 30, 6) AS per_day FROM ev JOIN days ON date BETWEEN event_date - 37 AND event_date - 8 GROUP BY 1, 2""")
+@query("orders_event_baseline", f"""WITH {_EVS}, {_DAYS} SELECT event_id, stream, round(sum(price * n) / sum(n), 2) AS base_mean, round(sum(n)::DOUBLE / 30, 6) AS per_day FROM ev JOIN days ON date BETWEEN event_date - 37 AND event_date - 8 GROUP BY 1, 2""")
 def orders_event_baseline(spark, sf_dir):
-    return E.baseline(_events(spark), _days(spark, sf_dir), "price", "n").select("event_id", "stream", F.round(F.col("base_mean") + 0.0000001, 4).alias("base_mean"), F.round("per_day", 6).alias("per_day"))
+    return E.baseline(_events(spark), _days(spark, sf_dir), "price", "n").select("event_id", "stream", F.round("base_mean", 2).alias("base_mean"), F.round("per_day", 6).alias("per_day"))
 
 
 @query("orders_event_overlaps", f"""WITH {_EVS} SELECT event_id, event_date, EXISTS (SELECT 1 FROM ev b WHERE b.event_id <> a.event_id AND a.event_date BETWEEN b.event_date - 7 AND b.event_date + 14) AS overlap FROM ev a""")
@@ -206,10 +208,13 @@ def lineitem_rollup(spark, sf_dir):
 SELECT doc_id, count(*) AS lines FROM r WHERE r = 1 GROUP BY 1""")
 def docs_repeated_lines_dedupe(spark, sf_dir):
     rows = docs(spark, sf_dir).select("doc_id", "source", "date", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    return X.first_sentences(rows, "source", "line", [F.desc("date"), F.desc("doc_id")]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
+    return X.first_sentences(rows, "source", "line", ["date", "doc_id"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"))
 
 
-@query("docs_size_shards")
+@query("docs_size_shards", f"""WITH RECURSIVE {DOCS_SQL}, o AS (SELECT country, doc_id, n_chars, row_number() OVER (PARTITION BY country ORDER BY doc_id) AS r FROM docs),
+walk AS (SELECT country, r, n_chars, 0 AS shard, n_chars AS held FROM o WHERE r = 1 UNION ALL
+ SELECT o.country, o.r, o.n_chars, CASE WHEN held >= 50000 THEN shard + 1 ELSE shard END, CASE WHEN held >= 50000 THEN 0 ELSE held END + o.n_chars FROM walk JOIN o ON o.country = walk.country AND o.r = walk.r + 1)
+SELECT country, shard::INT AS shard, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM walk GROUP BY 1, 2""")
 def docs_size_shards(spark, sf_dir):
     d = docs(spark, sf_dir).select("country", "doc_id", "n_chars")
     return X.size_shards(d, ["country"], ["doc_id"], "n_chars", 50_000).groupBy("country", "shard").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lexstrata.sources.shared import spread
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -26,6 +28,11 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Tables whose rows are long, so that work on them is worth dealing over all cores.
+WIDE = frozenset({"documents", "embeddings", "pages", "conversations"})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; the path may be in any store that Spark reads."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in WIDE else rows

@@ -10,6 +10,7 @@ from lexstrata.functions import text as T
 from lexstrata.operators import classify as C
 from lexstrata.operators import passages as P
 from lexstrata.operators import views as V
+from lexstrata.operators.models import doc_tone
 from lexstrata.plans.registry import query, table
 from lexstrata.plans.trends import orders_z
 from lexstrata.operators import series as S
@@ -39,8 +40,8 @@ def view_best_sentences(spark, sf_dir):
 
 @query("view_doc_tone", f"""{_SENT} SELECT documents.doc_id, count(scores.doc_id) AS nsent, round(avg(hostility) / 1000, 6) AS hostility, round(avg(threat) / 1000, 6) AS threat FROM documents LEFT JOIN scores USING (doc_id) GROUP BY 1""")
 def view_doc_tone(spark, sf_dir):
-    tone = scored_sentences(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("hostility") / 1000, 6).alias("hostility"), F.round(F.avg("threat") / 1000, 6).alias("threat"))
-    return table(spark, sf_dir, "documents").select("doc_id").join(tone, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("nsent"), "hostility", "threat")
+    tone = doc_tone(table(spark, sf_dir, "documents"), scored_sentences(spark, sf_dir), ["hostility", "threat"])
+    return tone.select("doc_id", "nsent", F.round("hostility", 6).alias("hostility"), F.round("threat", 6).alias("threat"))
 
 
 @query("view_ranked_alerts")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexstrata.functions import text as T
 from lexstrata.operators import search as Q
 from lexstrata.plans.registry import query, table
-from lexstrata.sources.testdata import DOCS_SQL, docs
+from lexstrata.sources.testdata import DOCS_SQL, docs, docs_index
 
 W = "[^\\p{L}\\p{N}\\p{M}_]"
 
@@ -27,43 +27,43 @@ def docs_facets(spark, sf_dir):
 
 @query("docs_phrase_search", f"WITH {DOCS_SQL} SELECT doc_id, country, date FROM docs WHERE {_has('of the')}")
 def docs_phrase_search(spark, sf_dir):
-    return Q.search(docs(spark, sf_dir), "of the").select("doc_id", "country", "date")
+    return Q.search(docs(spark, sf_dir), "of the", index=docs_index(spark, sf_dir)).select("doc_id", "country", "date")
 
 
 @query("docs_bool_search", f"WITH {DOCS_SQL} SELECT doc_id, lang FROM docs WHERE ({_has('license')} OR {_has('idiot')}) AND NOT {_has('mit')}")
 def docs_bool_search(spark, sf_dir):
-    return Q.search(docs(spark, sf_dir), "(license OR idiot) NOT mit").select("doc_id", "lang")
+    return Q.search(docs(spark, sf_dir), "(license OR idiot) NOT mit", index=docs_index(spark, sf_dir)).select("doc_id", "lang")
 
 
 @query("docs_prefix_search", f"WITH {DOCS_SQL} SELECT doc_id FROM docs WHERE regexp_matches(title || chr(10) || text, '(?i)(^|{W})licen')")
 def docs_prefix_search(spark, sf_dir):
-    return Q.search(docs(spark, sf_dir), "licen*").select("doc_id")
+    return Q.search(docs(spark, sf_dir), "licen*", index=docs_index(spark, sf_dir)).select("doc_id")
 
 
 @query("docs_filtered_page", f"""WITH {DOCS_SQL} SELECT doc_id, source, date FROM docs WHERE lang IN ('en', 'de') AND date BETWEEN DATE '2024-02-01' AND DATE '2024-04-30' AND source NOT IN ('src3')
 AND ({_has('the')} OR {_has('der')}) ORDER BY date DESC, doc_id DESC LIMIT 50 OFFSET 10""")
 def docs_filtered_page(spark, sf_dir):
     where = Q.filters(lang=["en", "de"], date_from="2024-02-01", date_to="2024-04-30", not_source=["src3"])
-    return Q.page(Q.search(docs(spark, sf_dir), "the OR der", where), 50, 10).select("doc_id", "source", "date")
+    return Q.page(Q.search(docs(spark, sf_dir), "the OR der", where, index=docs_index(spark, sf_dir)), 50, 10).select("doc_id", "source", "date")
 
 
 @query("docs_near", f"""WITH {DOCS_SQL}, w AS (SELECT doc_id, regexp_extract_all(lower(title || chr(10) || text), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+') AS w FROM docs)
 SELECT doc_id FROM w WHERE len(list_filter(range(1, len(w) + 1), lambda i: w[i] = 'the' AND list_contains(w[greatest(i - 6, 1):i + 6], 'idiot'))) > 0""")
 def docs_near(spark, sf_dir):
-    return Q.search(docs(spark, sf_dir), "the NEAR/2 idiot").select("doc_id")
+    return Q.search(docs(spark, sf_dir), "the NEAR/2 idiot", index=docs_index(spark, sf_dir)).select("doc_id")
 
 
 @query("docs_hit_counts", f"""WITH {DOCS_SQL}, w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda x: x = 'the') AS hit FROM docs)
 SELECT doc_id, len(hit)::INT AS hits FROM w WHERE len(hit) > 0""")
 def docs_hit_counts(spark, sf_dir):
     tree = Q.parse("the")
-    return docs(spark, sf_dir).select("doc_id", Q.hits(tree, T.norm(F.col("text"))).alias("hits")).filter("hits > 0")
+    return docs(spark, sf_dir).select("doc_id", Q.hits(tree, F.col("text")).alias("hits")).filter("hits > 0")
 
 
 @query("docs_count_by_month", f"""WITH {DOCS_SQL}, w AS (SELECT date, len(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda x: x = 'the')) AS hits FROM docs)
 SELECT strftime(date, '%Y-%m') AS bucket, count(*) AS docs, sum(hits)::BIGINT AS hits FROM w WHERE hits > 0 GROUP BY 1""")
 def docs_count_by_month(spark, sf_dir):
-    found = docs(spark, sf_dir).withColumn("hits", Q.hits(Q.parse("the"), T.norm(F.col("text")))).filter("hits > 0")
+    found = docs(spark, sf_dir).withColumn("hits", Q.hits(Q.parse("the"), F.col("text"))).filter("hits > 0")
     return Q.count_by(found, "month")
 
 
@@ -75,7 +75,7 @@ def docs_count_by_source_lang(spark, sf_dir):
 @query("docs_snippets")
 def docs_snippets(spark, sf_dir):
     tree = Q.parse('"of the"')
-    found = Q.page(Q.search(docs(spark, sf_dir), '"of the"'), 20)
+    found = Q.page(Q.search(docs(spark, sf_dir), '"of the"', index=docs_index(spark, sf_dir)), 20)
     return Q.snippets(found, tree).select("doc_id", F.transform("snips", lambda x: F.concat_ws("|", x["left"], x["hit"], x["right"])).alias("snips"))
 
 
@@ -84,7 +84,7 @@ _TOKENS = "regexp_extract_all(lower(strip_accents(title || chr(10) || text)), '[
 
 @query("docs_match_all", f"""WITH {DOCS_SQL}, w AS (SELECT doc_id AS doc, {_TOKENS} AS w FROM docs) SELECT doc FROM w WHERE list_contains(w, 'license') AND list_contains(w, 'apache')""")
 def docs_match_all(spark, sf_dir):
-    return Q.match_all(Q.postings(docs(spark, sf_dir)), ["license", "apache"])
+    return Q.match_all(docs_index(spark, sf_dir), ["license", "apache"])
 
 
 @query("docs_bm25", f"""WITH {DOCS_SQL}, w AS (SELECT doc_id AS doc, list_filter({_TOKENS}, lambda x: NOT regexp_matches(x, '^[0-9]{{5,}}$')) AS w FROM docs),
@@ -92,14 +92,29 @@ st AS (SELECT count(*) AS n, avg(len(w)) AS mean_len FROM w), tf AS (SELECT doc,
 df AS (SELECT token, count(*) AS df FROM tf WHERE tf > 0 GROUP BY 1)
 SELECT doc, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean_len))), 6) AS score FROM tf JOIN df USING (token), st WHERE tf > 0 GROUP BY 1""")
 def docs_bm25(spark, sf_dir):
-    return Q.bm25(docs(spark, sf_dir), ["license", "idiot"]).select("doc", F.round("score", 6).alias("score"))
+    return Q.bm25(docs_index(spark, sf_dir), ["license", "idiot"]).select("doc", F.round("score", 6).alias("score"))
 
 
-@query("docs_term_report", f"""WITH {DOCS_SQL}, w AS (SELECT doc_id, text, title FROM docs)
-SELECT label, count(*) AS docs FROM (SELECT 'license' AS label FROM w WHERE {_has('license')} UNION ALL SELECT 'mit' FROM w WHERE {_has('mit license')} UNION ALL SELECT 'insult' FROM w WHERE {_has('idiot')} OR {_has('scum')}) GROUP BY 1""")
+_HITS = "len(list_filter(w, lambda x: x IN ({})))"
+
+
+@query("docs_term_report", f"""WITH {DOCS_SQL}, w AS (SELECT doc_id, date, regexp_extract_all(lower(coalesce(title, '') || chr(10) || chr(10) || text), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+') AS w FROM docs),
+h AS (SELECT 'license' AS label, doc_id, date, {_HITS.format("'license'")} AS hits FROM w UNION ALL SELECT 'insult', doc_id, date, {_HITS.format("'idiot', 'scum'")} FROM w
+UNION ALL SELECT 'mit', doc_id, date, len(list_filter(range(1, len(w)), lambda i: w[i] = 'mit' AND w[i + 1] = 'license')) FROM w),
+f AS (SELECT * FROM h WHERE hits > 0)
+SELECT label, count(DISTINCT doc_id) AS docs, sum(hits)::BIGINT AS hits, min(date) AS first, max(date) AS last FROM f GROUP BY 1
+UNION ALL SELECT NULL, count(DISTINCT doc_id), sum(hits)::BIGINT, min(date), max(date) FROM f""")
 def docs_term_report(spark, sf_dir):
     found, _ = Q.term_report(docs(spark, sf_dir), [("license", "license"), ("mit", '"mit license"'), ("insult", "idiot OR scum"), ("broken", "idiot AND (")])
-    return found.groupBy("label").agg(F.count(F.lit(1)).alias("docs"))
+    return Q.report_totals(found)
+
+
+@query("search_index_build", f"""WITH {DOCS_SQL}, w AS (SELECT doc_id, list_filter({_TOKENS}, lambda x: NOT regexp_matches(x, '^[0-9]{{5,}}$')) AS w FROM docs)
+SELECT token, count(*) AS docs, sum(tf)::BIGINT AS tf FROM (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS token FROM w) GROUP BY 1, 2) GROUP BY 1
+UNION ALL SELECT '', count(*), sum(len(w))::BIGINT FROM w""")
+def search_index_build(spark, sf_dir):
+    """The token index built anew, counted by token; under the empty token the documents and their lengths."""
+    return Q.token_index(docs(spark, sf_dir)).groupBy("token").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("tf"))
 
 
 @query("docs_benchmark_contamination", """SELECT item_id, count(*) AS docs FROM benchmark JOIN documents ON contains(documents.text, benchmark.text) GROUP BY 1""")

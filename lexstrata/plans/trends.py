@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexstrata.operators import coverage as C
 from lexstrata.operators import series as S
 from lexstrata.plans.registry import query, table
 from lexstrata.sources.testdata import DOCS_SQL, SENTS_SQL, docs, scored_sentences
@@ -170,7 +171,7 @@ def doc_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source || '|' || lang || '|' || coalesce(sample, 'all') AS stream, count(*) AS n_docs, round(sqrt(count(*)), 4) AS weight, min(date) AS first, max(date) AS last
 FROM docs JOIN tone USING (doc_id) WHERE sample IS NULL GROUP BY 1""")
 def docs_stream_catalogue(spark, sf_dir):
-    return doc_frame(spark, sf_dir).groupBy("stream").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.sqrt(F.count(F.lit(1))), 4).alias("weight"), F.min("date").alias("first"), F.max("date").alias("last"))
+    return C.stream_catalogue(doc_frame(spark, sf_dir)).withColumn("weight", F.round("weight", 4))
 
 
 @query("docs_tone_series", f"""{_TONE_SQL}
@@ -184,13 +185,12 @@ def docs_tone_series(spark, sf_dir):
 @query("docs_coverage_by_country", f"""{_TONE_SQL}
 SELECT country, count(*) AS docs, count(tone.doc_id) AS scored, min(date) AS first, max(date) AS last FROM docs LEFT JOIN tone USING (doc_id) GROUP BY 1""")
 def docs_coverage_by_country(spark, sf_dir):
-    scored = scored_sentences(spark, sf_dir).select("doc_id").distinct().withColumn("s", F.lit(1))
-    return docs(spark, sf_dir).join(scored, "doc_id", "left").groupBy("country").agg(F.count(F.lit(1)).alias("docs"), F.count("s").alias("scored"), F.min("date").alias("first"), F.max("date").alias("last"))
+    return C.by_key(docs(spark, sf_dir), "country", {"scored": scored_sentences(spark, sf_dir)})
 
 
 @query("docs_stale_streams", f"""WITH {DOCS_SQL} SELECT source, lang, max(date) AS last, count(*) AS n FROM docs GROUP BY 1, 2 HAVING max(date) < DATE '2024-06-25' AND count(*) >= 2""")
 def docs_stale_streams(spark, sf_dir):
-    return docs(spark, sf_dir).groupBy("source", "lang").agg(F.max("date").alias("last"), F.count(F.lit(1)).alias("n")).filter("last < DATE'2024-06-25' AND n >= 2")
+    return C.stale_streams(docs(spark, sf_dir), ["source", "lang"], F.lit("2024-06-25").cast("date"), 2)
 
 
 @query("docs_window_coverage", f"""WITH {DOCS_SQL} SELECT country, count(*) FILTER (date BETWEEN DATE '2024-05-01' AND DATE '2024-05-31') AS now, count(*) FILTER (date BETWEEN DATE '2024-04-01' AND DATE '2024-04-30') AS prior,
@@ -198,4 +198,4 @@ def docs_stale_streams(spark, sf_dir):
 def docs_window_coverage(spark, sf_dir):
     now = F.expr("date BETWEEN DATE'2024-05-01' AND DATE'2024-05-31'")
     prior = F.expr("date BETWEEN DATE'2024-04-01' AND DATE'2024-04-30'")
-    return docs(spark, sf_dir).groupBy("country").agg(F.count_if(now).alias("now"), F.count_if(prior).alias("prior"), F.count_distinct(F.when(now, F.concat_ws("|", "source", "lang"))).alias("streams"))
+    return C.window_coverage(docs(spark, sf_dir), "country", now, prior, F.concat_ws("|", "source", "lang"))

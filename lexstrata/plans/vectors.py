@@ -92,7 +92,11 @@ def emb_topic_assign(spark, sf_dir):
     return V.assign(v, c).select("vec_id", "topic", F.round("sim", 6).alias("sim"))
 
 
-@query("emb_exemplars")
+@query("emb_exemplars", f"""WITH {_CENT}, s AS (SELECT vec_id, country, c0.label AS topic, list_cosine_similarity(e, c) AS sim FROM v, c0),
+a AS (SELECT vec_id, country, topic, sim FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, topic) AS r FROM s) WHERE r = 1),
+p AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY sim DESC, vec_id) AS p FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY topic, country ORDER BY p) AS c FROM p WHERE p <= 400),
+o AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY CASE WHEN c = 1 THEN 0 ELSE 1 END, p) AS place FROM c)
+SELECT topic, place::INT AS place, vec_id, country, round(sim, 6) AS sim FROM o WHERE place <= 3""")
 def emb_exemplars(spark, sf_dir):
     v = vecs(spark, sf_dir)
     c = V.mean_vectors(v, ["label"]).select(F.col("label").alias("topic"), "centroid")
@@ -120,7 +124,11 @@ def docs_topic_prevalence(spark, sf_dir):
     return V.prevalence(d).select("country", "period", "topic", "n", F.round("share", 6).alias("share"), F.round("balanced", 6).alias("balanced"))
 
 
-@query("docs_topic_terms")
+@query("docs_topic_terms", f"""WITH {DOCS_SQL}, w AS (SELECT doc_id, lang, (doc_id % 6)::INT AS topic, unnest(list_distinct(list_filter(regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}]+'), lambda x: len(x) >= 3 AND NOT regexp_matches(x, '^[0-9]{{5,}}$')))) AS word FROM docs),
+d AS (SELECT lang, topic, word, count(*) AS v FROM w GROUP BY ALL), x AS (SELECT *, sum(v) OVER (PARTITION BY lang, word) AS f, sum(v) OVER (PARTITION BY lang, topic) AS total FROM d),
+m AS (SELECT lang, sum(v)::DOUBLE / count(DISTINCT topic) AS mean FROM x GROUP BY 1),
+r AS (SELECT lang, topic, word, row_number() OVER (PARTITION BY lang, topic ORDER BY round(v::DOUBLE / total * ln(1 + mean / f), 9) DESC, word) AS r FROM x JOIN m USING (lang) WHERE v >= 3 AND total >= 50)
+SELECT lang, topic, string_agg(word, ' ' ORDER BY r) AS terms FROM r WHERE r <= 8 GROUP BY ALL""")
 def docs_topic_terms(spark, sf_dir):
     d = docs(spark, sf_dir).withColumn("topic", (F.col("doc_id") % 6).cast("int"))
     return V.topic_terms(d, F.filter(T.index_terms(F.col("text")), lambda w: F.length(w) >= 3)).select("lang", "topic", F.array_join("terms", " ").alias("terms"))

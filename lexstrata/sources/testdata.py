@@ -29,6 +29,20 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_INDEXES: dict[tuple, DataFrame] = {}
+
+
+def docs_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token index of ``docs``: built once for a session and the same input files, then read by every search."""
+    from lexstrata.operators.search import token_index
+    from lexstrata.sources.shared import stamps
+
+    key = (spark.sparkContext.applicationId, sf_dir, stamps(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    if key not in _INDEXES:
+        _INDEXES[key] = token_index(docs(spark, sf_dir))
+    return _INDEXES[key]
+
+
 #: The same view for DuckDB, as a WITH item.
 DOCS_SQL = """docs AS (
   SELECT doc_id, source || ':' || doc_id AS id, r_name AS country, source,
