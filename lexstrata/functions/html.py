@@ -92,7 +92,9 @@ def rss_items(xml: Column) -> Column:
     """``array<struct<title, link, published>>`` of a feed."""
     items = F.regexp_extract_all(xml, F.lit("(?is)<item\\b[^>]*>(.*?)</item>"), F.lit(1))
     of = lambda x, tag: F.nullif(F.trim(basic_unescape(F.regexp_extract(x, f"(?is)<{tag}>\\s*(?:<!\\[CDATA\\[)?(.*?)(?:\\]\\]>)?\\s*</{tag}>", 1))), F.lit(""))
-    stamp = lambda x: F.try_to_timestamp(F.regexp_replace(of(x, "pubDate"), "^[A-Za-z]{3},\\s*|\\s*GMT$", ""), F.lit("d MMM yyyy HH:mm:ss"))
+    plain = lambda x: F.regexp_replace(of(x, "pubDate"), "^[A-Za-z]{3},\\s*|\\s*(?:GMT|UTC?|Z)$", "")
+    zoned = lambda x: F.when(x.rlike("[+-]\\d{4}$"), x).otherwise(F.concat(x, F.lit(" +0000")))
+    stamp = lambda x: F.try_to_timestamp(zoned(plain(x)), F.lit("d MMM yyyy HH:mm:ss Z"))
     return F.transform(items, lambda x: F.struct(of(x, "title").alias("title"), of(x, "link").alias("link"), stamp(x).alias("published")))
 
 

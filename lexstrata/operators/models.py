@@ -85,3 +85,8 @@ def weights_of(model) -> tuple[list[float], float]:
 def newest_first(rows: DataFrame, date: Column, most: int) -> DataFrame:
     """A bounded work queue."""
     return rows.orderBy(F.desc(date)).limit(most)
+
+
+def esc_balance(escalation: Column, deescalation: Column) -> Column:
+    """How much escalation outweighs de-escalation; null if either is."""
+    return escalation - deescalation

@@ -24,7 +24,8 @@ def hash_rank(seed: str, key: Column) -> Column:
 
 def scattered(key: Column) -> Column:
     """A pseudo-random order of numbers: times a constant modulo 2^32."""
-    return F.pmod(F.crc32(key.cast("string").cast("binary")) * 2654435761, F.lit(4294967296))
+    product = F.crc32(key.cast("string").cast("binary")).cast("decimal(20,0)") * F.lit(2654435761).cast("decimal(10,0)")  # beyond 64 bits
+    return F.pmod(product, F.lit(4294967296).cast("decimal(10,0)")).cast("long")
 
 
 def bit_reversed(i: Column, bits: int) -> Column:

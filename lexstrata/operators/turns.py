@@ -43,6 +43,12 @@ def line_ranges(lines: DataFrame, key: str, order: str, n: str) -> DataFrame:
     return lines.withColumn("i1", F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("i0", F.col("i1") - F.col(n))
 
 
+def pair_scores(pairs: DataFrame, scores: DataFrame, key: str, dims: Sequence[str], idx: str = "idx") -> DataFrame:
+    """``key, pair``, mean scores of the sentences whose numbers a pair lists, and how many of them are scored."""
+    long = pairs.select(key, "pair", F.explode(idx).alias("idx")).distinct()
+    return long.join(scores, [key, "idx"], "left").groupBy(key, "pair").agg(*(F.avg(d).alias(d) for d in dims), F.count(dims[0]).alias("n"))
+
+
 def aligned(a: DataFrame, b: DataFrame, key: str, seq: str) -> DataFrame:
     """Pairs of two versions by position, only where a key has as many in both."""
     n = lambda d, c: d.groupBy(key).agg(F.count(F.lit(1)).alias(c))

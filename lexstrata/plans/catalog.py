@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lexstrata.plans import corpus, feeds, reports, searching, trends, vectors
+from lexstrata.plans import checked, checked_ops, corpus, feeds, reports, searching, trends, vectors
 from lexstrata.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = (corpus, feeds, reports, searching, trends, vectors)
+MODULES = (checked, checked_ops, corpus, feeds, reports, searching, trends, vectors)
 
 
 def queries() -> dict[str, Query]:
