@@ -146,6 +146,14 @@ def word_frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int
     return {bytes(r["w"]): r["n"] for r in found}
 
 
+def templates_of(table: DataFrame, label_col: str = "label", text_col: str = "text", most: int = 10_000) -> tuple[tuple[str, str], ...]:
+    """Templates of a table of license texts (full texts too), for ``license_scan``; an error beyond ``most`` rows, as the index is sent to every task."""
+    found = table.select(F.col(label_col).alias("l"), F.col(text_col).alias("t")).filter("l IS NOT NULL AND t IS NOT NULL").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} templates")
+    return tuple(sorted((r["l"], r["t"]) for r in found))
+
+
 SCHEMA = (
     "doc_id {id}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
     "blocks array<struct<line:long, label:string, score:double>>"
@@ -190,11 +198,12 @@ def license_scan(
         places, labels = [], set()
         line = b" " + b" ".join(words) + b" "
         for phrase, label in base:
-            at = line.find(phrase)
+            at, before, word = line.find(phrase), 0, -1
             while at >= 0:
-                places.append(line.count(b" ", 0, at + 1) - 1)
+                word += line.count(b" ", before, at + 1)  # from the last place on, so that a text is counted once
+                places.append(word)
                 labels.add(label)
-                at = line.find(phrase, at + 1)
+                before, at = at + 1, line.find(phrase, at + 1)
         blocks = []
         if not rarest.isdisjoint(words):  # by the prefix filter no block of another text can meet a template
             lines = [raw.encode("utf-8", "surrogatepass").translate(_MAP).split() for raw in (text or "").split("\n")]
