@@ -2,7 +2,13 @@
 
 A line is boilerplate of a host if the share of the host's pages that contain it
 exceeds ``max_ratio``. Pages are counted in the same pass as lines (as a null
-line of every page), so one aggregation with map-side combining gives both.
+line of every page): one aggregation with map-side combining, written once, gives
+both.
+
+The ratio is high on purpose. Copies of a page count as pages, so a low ratio would
+take every line out of all copies of a frequent document, before a later stage
+could keep one of them. ``min_pages`` is evidence, not size: on a host of a few
+pages, two copies of one page would pass any ratio and lose all their text.
 """
 
 from __future__ import annotations
@@ -12,6 +18,8 @@ from pyspark.sql import functions as F
 
 from lexstrata.llm.common import BROADCAST_ROWS, free_names, salt_of, written
 
+#: Bytes of lines that a broadcast list may have.
+BROADCAST_BYTES = 64 << 20
 #: Space, tab and carriage return at a line's ends are not part of the line.
 BLANKS = " \t\r"
 
@@ -33,7 +41,8 @@ def boilerplate_lines(df: DataFrame, host: Column, text_col: str = "text", max_r
     lines = F.array_distinct(F.filter(F.transform(F.split(F.col(text_col), "\n", -1), _line), lambda x: x != ""))
     none = F.array().cast("array<string>")
     marks = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(lines, none))
-    counts = df.select(F.coalesce(host, F.lit("")).alias("h"), F.explode(marks).alias("line")).groupBy("h", "line").agg(F.count(F.lit(1)).alias("pages")).filter((F.col("pages") >= min_pages) | F.col("line").isNull())
+    counts = df.select(F.coalesce(host, F.lit("")).alias("h"), F.explode(marks).alias("line")).groupBy("h", "line").agg(F.count(F.lit(1)).alias("pages"))
+    counts = written(counts.filter((F.col("pages") >= min_pages) | F.col("line").isNull()), "line-counts")
     # a host's lines are few after the filter: at least min_pages pages share each
     totals = counts.filter("line is null").select("h", F.col("pages").alias("total"))
     return counts.filter("line is not null").join(totals, "h").filter(F.col("pages") > F.col("total") * F.lit(max_ratio))
@@ -64,18 +73,20 @@ def line_dedup(
     """
     host = F.col("source") if host is None else host
     found = written(boilerplate_lines(df, host, text_col, max_ratio, min_pages).select("h", "line"), "boilerplate")
-    rows = found.count()
+    size = found.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("line")), F.lit(0)).alias("bytes")).first()
     h, bad, salt, kept, gone = free_names(df, "h", "bad", "salt", "kept", "gone")
     by_host = found.groupBy(F.col("h").alias(h)).agg(F.collect_list("line").alias(bad))
     keyed = df.withColumn(h, F.coalesce(host, F.lit("")))
-    if rows <= broadcast_rows:
+    if size["rows"] <= broadcast_rows and size["bytes"] <= BROADCAST_BYTES:
         joined = keyed.join(F.broadcast(by_host), h, "left")
     else:  # hosts of many pages are dealt over the salts
         every = by_host.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         joined = keyed.withColumn(salt, salt_of(F.col(text_col), salts)).join(every, [h, salt], "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    stay = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col(bad), _line(x)), F.lit(False)))
-    out = joined.withColumn(kept, F.when(F.col(bad).isNotNull() & F.col(text_col).isNotNull(), stay))
+    # a hash lookup finds which of the host's lines a text has; only those are compared with each line
+    own = F.array_intersect(F.col(bad), F.transform(lines, _line))
+    stay = lambda hit: F.when(F.size(hit) > 0, F.filter(lines, lambda x: ~F.array_contains(hit, _line(x)))).otherwise(lines)
+    out = joined.withColumn(kept, F.when(F.col(bad).isNotNull() & F.col(text_col).isNotNull(), F.get(F.transform(F.array(own), stay), F.lit(0))))
     out = out.withColumn(gone, F.when(F.col(kept).isNull(), 0).otherwise(F.size(lines) - F.size(F.col(kept))))
     text = F.when(F.col(gone) > 0, F.array_join(F.col(kept), "\n")).otherwise(F.col(text_col))
     n = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines))
