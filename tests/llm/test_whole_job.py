@@ -4,7 +4,10 @@ import textwrap
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from lexstrata.llm import queries as q
+from lexstrata.llm.exact_dedup import exact_dedup, sha256_of
 from lexstrata.llm.license_scan import SPAN, TEMPLATES, Index, license_scan, words_of
 from lexstrata.llm.near_dedup import compared, left_apart
 from lexstrata.llm.packing import pack_documents
@@ -75,3 +78,12 @@ def test_second_round_with_repeated_rows(spark):
         first = compared(docs, pairs)
         assert first.filter("100 * common >= 80 * (n_a + n_b - common)").count() == 0
         assert [tuple(r) for r in left_apart(docs, first, apart, 80).collect()] == [(2, 1)], times
+
+
+def test_exact_dedup_spreads_null_ids(spark):
+    """A hot text whose rows all have null ids is dealt over the salts; colliding digests too."""
+    df = spark.createDataFrame([(None, "hot")] * 300 + [(7, "hot"), (8, "x"), (None, "y"), (None, "y")], "doc_id long, text string")
+    for digest in (sha256_of, lambda c: F.lit("same")):
+        out = exact_dedup(df, digest=digest).collect()
+        assert len(out) == 304 and sum(r.kept for r in out) == 4
+        assert {(r.keep_id, r.group_size) for r in out} == {(7, 301), (8, 1), (None, 2)}
