@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
+#: More values than there are languages with a code.
+MOST_LANGS = 10_000
 
 
 @lru_cache(maxsize=1)
@@ -88,19 +90,23 @@ def held_out(id_column: Column) -> Column:
 
 
 def learn(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 3000, size: int = 400, max_langs: int = 1000
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = 3000, size: int = 400
 ) -> Profiles:
     """Profiles of the languages of the labelled rows that are not held out.
 
-    ``train_docs`` bounds the expected sample of each language, ``max_langs`` the
-    languages (the most frequent ones), so the model is bounded too.
+    ``train_docs`` bounds the expected sample of each language. A row is in it by a
+    hash of its id and its place in the table, so null and repeated ids are sampled
+    like others. Every language is learned; a label column of more than ``MOST_LANGS``
+    values is no list of languages and raises an error.
     """
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGS + 1).collect()}
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     if not sizes:
         return Profiles({}, size)
     bound = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1_000_000, -(-train_docs * 1_000_000 // n))))))
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.coalesce(F.try_element_at(bound, F.col("lang")), F.lit(0)))
+    sample = rows.filter(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1_000_000)) < F.coalesce(F.try_element_at(bound, F.col("lang")), F.lit(0)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[str, list] = {}
