@@ -100,14 +100,14 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at - at[0], raw[at[0] : at[-1]]
 
 
-def slices(batch: pa.RecordBatch, text: int, most_bytes: int = 1 << 20):
-    """Cut a batch into row ranges of about ``most_bytes`` of text; one longer text is a range of its own."""
+def slices(batch: pa.RecordBatch, text: int, most_bytes: int = 1 << 20, most_rows: int = 1 << 16):
+    """Cut a batch into row ranges of about ``most_bytes`` of text and at most ``most_rows`` rows; one longer text is a range of its own."""
     pa.default_memory_pool().release_unused()  # the batches before
     offsets, _ = text_buffers(batch.column(text))
     n, start = batch.num_rows, 0
     while start < n:
         stop = int(np.searchsorted(offsets, offsets[start] + most_bytes, side="right")) - 1
-        stop = min(max(stop, start + 1), n)
+        stop = min(max(stop, start + 1), start + most_rows, n)
         yield batch.slice(start, stop - start)
         start = stop
 

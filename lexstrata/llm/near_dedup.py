@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexstrata.llm.common import maybe_broadcast, mix64, salt_of, slices, text_buffers, written
+from lexstrata.llm.common import BROADCAST_ROWS, maybe_broadcast, mix64, salt_of, slices, text_buffers, written
 from lexstrata.llm.components import components
 
+#: Buckets of more than a task's rows divided by this are hot.
+HOT_SHARE = 8
 #: Bytes of text that a task turns into arrays at once.
 SLICE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -56,8 +58,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def shingle_sets(offsets: np.ndarray, data: np.ndarray) -> list[np.ndarray]:
-    """For each text of a buffer the sorted 64-bit hashes of its distinct 2-word shingles; of a single word, that word's."""
+def shingle_sets(offsets: np.ndarray, data: np.ndarray, words_in: int = 2) -> list[np.ndarray]:
+    """For each text of a buffer the sorted 64-bit hashes of its distinct shingles of ``words_in`` words; of fewer words, that of the whole sequence."""
     lower, white = _tables()
     n_docs = len(offsets) - 1
     solid = ~white[data]
@@ -70,16 +72,26 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray) -> list[np.ndarray]:
     np.cumsum(lower[data] * up[: len(data)], out=sums[1:])
     words = mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _K3)
     first = np.searchsorted(starts, offsets)
-    pairs = mix64(words[:-1] * _K1 + words[1:] * _K2) if len(words) > 1 else np.zeros(0, np.uint64)
+    runs = words[: max(len(words) - words_in + 1, 0)]
+    for k in range(1, words_in):
+        runs = mix64(runs * _K1 + words[k : k + len(runs)] * _K2)
     out = []
     for i in range(n_docs):
         lo, hi = first[i], first[i + 1]
-        own = pairs[lo : hi - 1] if hi - lo > 1 else mix64(words[lo:hi] + _K3)
+        own = runs[lo : hi - words_in + 1] if hi - lo >= words_in else _whole(words[lo:hi])
         own = np.sort(own)
         out.append(own[np.append(True, own[1:] != own[:-1])] if len(own) else own)
     return out
 
 
+def _whole(words: np.ndarray) -> np.ndarray:
+    """One hash of a short sequence of words; none of no words."""
+    own = words[:1]
+    for k in range(1, len(words)):
+        own = mix64(own * _K1 + words[k : k + 1] * _K2)
+    return mix64(own + _K3)
+
+
 def meets(common: str, n: str, m: str, percent: int) -> str:
     """SQL for 100 * intersection >= percent * union, given the intersection's and the sets' sizes."""
     return f"100 * {common} >= {percent} * ({n} + {m} - {common})"
@@ -107,13 +119,13 @@ class TensorHash:
         return out
 
 
-def signatures(docs: DataFrame, hashes: TensorHash) -> DataFrame:
+def signatures(docs: DataFrame, hashes: TensorHash, words_in: int = 2) -> DataFrame:
     """``doc_id, n_shingles, set_key, a, b``: set size, digest of the set and the two collections; of an empty set only its size."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, SLICE):
-                sets = shingle_sets(*text_buffers(part.column(1)))
+                sets = shingle_sets(*text_buffers(part.column(1)), words_in)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 keys = np.array([hashes.keys(s) for s in sets if len(s)], np.uint64).view(np.int64).reshape(-1, 2, hashes.side)
                 at = np.where(sizes > 0, np.cumsum(sizes > 0) - 1, -1)
@@ -126,7 +138,7 @@ def signatures(docs: DataFrame, hashes: TensorHash) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {id_type}, n_shingles long, set_key binary, a array<long>, b array<long>")
 
 
-def compared(docs: DataFrame, pairs: DataFrame, n_pairs: int | None = None, spell: bool = False, most: int = 256) -> DataFrame:
+def compared(docs: DataFrame, pairs: DataFrame, n_pairs: int | None = None, spell: bool = False, most: int = 256, words_in: int = 2) -> DataFrame:
     """For distinct candidates ``(a, b)`` the full sets' sizes and intersection: ``a, b, n_a, n_b, common``.
 
     With ``spell``, also the shingles of ``a`` that ``b`` has not (``own``). Rows of a
@@ -149,7 +161,7 @@ def compared(docs: DataFrame, pairs: DataFrame, n_pairs: int | None = None, spel
             for piece in slices(batch, 4, SLICE):
                 found = []
                 ids, bs, runs, parts = (piece.column(i).to_pylist() for i in range(4))
-                for i, shingles in enumerate(shingle_sets(*text_buffers(piece.column(4)))):
+                for i, shingles in enumerate(shingle_sets(*text_buffers(piece.column(4)), words_in)):
                     if now != (bs[i], runs[i]):
                         now, own = (bs[i], runs[i]), np.zeros(0, np.uint64)
                     if parts[i] == 0:
@@ -167,7 +179,7 @@ def compared(docs: DataFrame, pairs: DataFrame, n_pairs: int | None = None, spel
     return out if spell else out.drop("own")
 
 
-def left_apart(docs: DataFrame, first: DataFrame, found: DataFrame, percent: int, together: int = 4) -> DataFrame:
+def left_apart(docs: DataFrame, first: DataFrame, found: DataFrame, percent: int, together: int = 4, words_in: int = 2) -> DataFrame:
     """Pairs ``(a, b)`` of bucket mates that are in different components and can still be similar.
 
     Mates met the same smallest document r; of two in different components, at least
@@ -176,7 +188,9 @@ def left_apart(docs: DataFrame, first: DataFrame, found: DataFrame, percent: int
     enough, which leaves x few sizes of partners (part of the join's key), or they
     share at least t shingles that r has not: then, for any l up to t, the
     |x - r| - t + l rarest such shingles of x hold l of y - r. A pair is judged by
-    the smallest r that both met. So a group's pairs are not enumerated.
+    the smallest r that both met. So a group's pairs are not enumerated: of a shingle's
+    holders, x and y meet only across components, and x only while its rank can still
+    count with the smallest set that could be similar to it.
     """
     comp = found.select(F.col("node").alias("a"), "component")
     edges = first.select("a", "b").distinct().join(comp, "a", "left").withColumn("comp", F.coalesce("component", "a"))
@@ -187,7 +201,7 @@ def left_apart(docs: DataFrame, first: DataFrame, found: DataFrame, percent: int
         return first.select("a", "b").limit(0)
     around = written(edges.join(maybe_broadcast(meet, n_meet), "b").select("a", "b", "comp", (F.col("comp") != F.col("major")).alias("odd")), "around")
     met = around.groupBy("a").agg(F.collect_set("b").alias("rs"))  # at most one for each table
-    spelled = compared(docs, around.select("a", "b"), around.count(), spell=True).join(around.join(met, "a"), ["a", "b"])
+    spelled = compared(docs, around.select("a", "b"), around.count(), spell=True, words_in=words_in).join(around.join(met, "a"), ["a", "b"])
     spelled = spelled.select(F.col("a").alias("id"), F.col("b").alias("r"), F.col("n_a").alias("n"), F.col("common").alias("i"), "comp", "odd", "rs", "own", F.xxhash64("own").alias("text"))
     spelled = written(spelled.dropDuplicates(["id", "r", "n", "i", "text"]), "spelled")  # rows that share an id: each of its sets once
     side = lambda df, name, *more: df.select("r", *(F.col(k).alias(f"{name}_{k}") for k in ("id", "n", "i", "comp", "rs", "text")), *more)
@@ -203,23 +217,57 @@ def left_apart(docs: DataFrame, first: DataFrame, found: DataFrame, percent: int
     within = x.join(y, ["r", "band"]).filter(f"{apart_pair} AND {least} <= 0").select("x_id", "y_id")
 
     loose = spelled.select("r", "id", "n", "i", "comp", "rs", "text", "odd", F.explode("own").alias("s"))
-    loose = loose.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("r", "s")))
+    # holders by component first: combined map-side, and a shingle of one component alone links nothing
+    cells = loose.groupBy("r", "s", F.col("comp").alias("y_comp")).agg(F.count(F.lit(1)).alias("k"))
+    held = written(cells.groupBy("r", "s").agg(F.sum("k").alias("holders"), F.count(F.lit(1)).alias("comps")), "held")
     rank = F.row_number().over(Window.partitionBy("r", "id", "n", "i", "text").orderBy("holders", "s"))
-    x = side(loose.filter("odd").withColumn("rank", rank).filter("holders > 1"), "x", "s", "rank")
-    y = side(loose.filter("holders > 1"), "y", "s")
+    ranked = loose.filter("odd").join(held, ["r", "s"]).withColumn("rank", rank)
+    # what x must share outside r with the smallest y that can be similar; more than that only lowers the rank that counts
+    asks = f"ceil(({percent} * (n + ceil(n * {percent} / 100)) - {100 + percent} * i) / {100 + percent})"
+    ranked = ranked.filter(f"comps > 1 AND rank <= n - i - greatest({asks}, 1) + least(greatest({asks}, 1), {together})")
+    x = side(ranked, "x", "s", "rank").join(cells.join(held.filter("comps > 1").select("r", "s"), ["r", "s"]).drop("k"), ["r", "s"]).filter("x_comp <> y_comp")
+    y = side(loose.join(held.filter("comps > 1").select("r", "s"), ["r", "s"]), "y", "s")
     shared = f"ceil(({least}) / {100 + percent})"
-    shares = x.join(y, ["r", "s"]).filter(f"{apart_pair} AND {least} > 0 AND rank <= x_n - x_i - {shared} + least({shared}, {together}) AND {shared} <= y_n - y_i")
+    shares = x.join(y, ["r", "s", "y_comp"]).filter(f"{apart_pair} AND {least} > 0 AND rank <= x_n - x_i - {shared} + least({shared}, {together}) AND {shared} <= y_n - y_i")
     beyond = shares.groupBy("r", "x_id", "y_id", "x_n", "y_n", "x_i", "y_i", "x_text", "y_text").agg(F.count(F.lit(1)).alias("met"), F.first(F.expr(f"least({shared}, {together})")).alias("asked")).filter("met >= asked").select("x_id", "y_id")
 
     pairs = within.unionByName(beyond).select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")).distinct()
     return pairs.join(first, ["a", "b"], "left_anti")
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, hashes: TensorHash | None = None, salts: int = 16) -> DataFrame:
+def smallest_mates(nodes: DataFrame) -> DataFrame:
+    """``a, b``: each node with the smallest node of every bucket that they share, over all tables.
+
+    A bucket's smallest is found by a grouping with map-side combining, and only
+    buckets of two or more are kept. They go back to the nodes by a join: as a
+    broadcast if their counted number allows it; else the few buckets that hold more
+    than a fraction of a task's share (at most ``HOT_SHARE`` for each task, so bounded)
+    are broadcast, and the others shuffled. So no task sees a hot bucket alone.
+    """
+
+    def tables(of: DataFrame) -> DataFrame:
+        return of.select("doc_id", "b", F.explode("a").alias("x")).select("doc_id", "x", F.explode("b").alias("y")).select(F.xxhash64("x", "y").alias("key"), "doc_id")
+
+    buckets = tables(nodes).groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
+    shared = written(buckets.filter("n > 1"), "buckets")
+    whole = shared.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    rows = tables(nodes)
+    if whole["k"] <= BROADCAST_ROWS:
+        met = rows.join(F.broadcast(shared.select("key", "low")), "key")
+    else:
+        tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        most = max(1000, whole["n"] // (HOT_SHARE * tasks))
+        part = lambda hot: shared.filter(F.col("n") > most if hot else F.col("n") <= most).select("key", "low")
+        met = rows.join(F.broadcast(part(True)), "key").unionByName(rows.join(part(False).hint("merge"), "key"))
+    return met.filter("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct()
+
+
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, hashes: TensorHash | None = None, salts: int = 16, words_in: int = 2) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
     Words are runs of bytes other than white space, A-Z lower-cased; a document's
-    set holds its distinct 2-word shingles, or the single word. Documents are linked
+    set holds its distinct shingles of ``words_in`` words, or, with fewer words, the
+    whole sequence. Documents are linked
     if ``100 * intersection >= percent * union``; ``component_id`` is the smallest id
     that links reach, and that document is kept.
 
@@ -231,29 +279,24 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     """
     hashes = hashes or TensorHash()
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed = written(signatures(docs, hashes), "signatures")
+    signed = written(signatures(docs, hashes, words_in), "signatures")
     # classes of equal sets; a hot one is spread over the salts both ways
     keyed = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "set_key", salt_of(F.col("doc_id"), salts).alias("salt"))
     salted = keyed.groupBy("set_key", "salt").agg(F.min("doc_id").alias("low"))
     classes = written(salted.groupBy("set_key").agg(F.min("low").alias("rep"), F.collect_set("salt").alias("salts")), "classes")
     nodes = signed.join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi").select("doc_id", "a", "b")
     nodes = written(nodes, "nodes")
-
-    def tables(of: DataFrame) -> DataFrame:
-        return of.select("doc_id", "b", F.explode("a").alias("x")).select("doc_id", "x", F.explode("b").alias("y")).select(F.xxhash64("x", "y").alias("key"), "doc_id")
-
-    least = F.min("doc_id").over(Window.partitionBy("key"))
-    first = tables(nodes).withColumn("b", least).filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    first = smallest_mates(nodes)
     first = written(first, "pairs")
-    first = written(compared(docs, first), "compared")
+    first = written(compared(docs, first, words_in=words_in), "compared")
     linked = F.expr(meets("common", "n_a", "n_b", percent))
     links = first.filter(linked).select("a", "b")
     group = lambda edges: written(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")
     found = group(links)
-    second = written(left_apart(docs, first, found, percent), "pairs")
+    second = written(left_apart(docs, first, found, percent, words_in=words_in), "pairs")
     n_second = second.count()
     if n_second:
-        more = written(compared(docs, second, n_second).filter(linked).select("a", "b"), "links")
+        more = written(compared(docs, second, n_second, words_in=words_in).filter(linked).select("a", "b"), "links")
         if more.limit(1).count():
             found = group(links.unionByName(more))
     spread = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"), F.explode("salts").alias("salt"))

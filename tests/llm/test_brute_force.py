@@ -25,7 +25,7 @@ def docs(spark):
 
 def shingles(text, n=2):
     w = (text or "").encode().translate(LOWER).split()
-    return set(zip(w, w[1:])) if len(w) > 1 else {tuple(w)} if w else set()
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
 
 
 def components(sets, percent=80):
