@@ -161,3 +161,23 @@ def identify(df: DataFrame, model: Profiles, text_col: str = "text", lang_name:
                 )
 
     return rows.mapInArrow(predict, schema)
+
+
+def least_scores(scored: DataFrame, lang_name: str, score_name: str, id_col: str = "doc_id", lang_col: str = "lang", quantile: float = 0.01, slack: float = 0.75) -> dict[str, float]:
+    """For each language a score that its texts hardly go below: ``slack`` times the ``quantile`` of its held-out labelled rows.
+
+    Exact on scores in steps of 0.001, so at most a thousand numbers of a language
+    reach the driver. A language without such rows has no entry.
+    """
+    own = scored.filter(held_out(F.col(id_col)) & (F.col(lang_col) == F.col(lang_name)))
+    bins = own.groupBy(F.col(lang_name).alias("lang"), F.floor(F.col(score_name) * 1000).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
+    out = {}
+    for lang in {r["lang"] for r in bins}:
+        mine = sorted((r["bin"], r["n"]) for r in bins if r["lang"] == lang)
+        total, upto = sum(n for _, n in mine), 0
+        for at, n in mine:
+            upto += n
+            if upto >= total * quantile:
+                out[lang] = slack * at / 1000
+                break
+    return out

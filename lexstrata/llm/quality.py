@@ -169,9 +169,18 @@ class Shard:
         return np.log(found)
 
 
-def score(docs: DataFrame, model: DataFrame, keep: tuple[str, ...], shards: int = 16) -> DataFrame:
-    """``keep`` columns, ``n`` characters and the sum ``log_p`` of their log probabilities for every row."""
+#: Model rows of a shard at most, about: what a task's Python worker holds.
+SHARD_ROWS = 500_000
+
+
+def score(docs: DataFrame, model: DataFrame, keep: tuple[str, ...], shards: int | None = None) -> DataFrame:
+    """``keep`` columns, ``n`` characters and the sum ``log_p`` of their log probabilities for every row.
+
+    The number of shards follows the counted model (16 at least), so a task's part of
+    it does not grow with the corpus.
+    """
     spark = docs.sparkSession
+    shards = shards or max(16, -(-model.filter("kind % 10 > 2").count() // SHARD_ROWS))
     salts = max(1, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // shards))
     shape = docs.select(*keep).schema
     middle = np.uint64((1 << WIDTH * 2) - 1)
@@ -244,7 +253,9 @@ def score(docs: DataFrame, model: DataFrame, keep: tuple[str, ...], shards: int
                         packed = _pack(np.flatnonzero(n).astype(np.uint16), n[n > 0].astype(np.uint32), np.bincount(who, logs * times)[n > 0])
                     yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([int(shard[lo] >= 0)], pa.int32()), pa.array([packed], pa.binary())], names=["block", "part", "data"])
 
-    joined = asked.unionByName(placed).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "side", "block")
+    # a partition for each shard and salt: hashing as many keys as partitions would leave some empty and others with several
+    cell = F.when(F.col("shard") < 0, F.pmod(F.xxhash64("block"), F.lit(shards * salts)).cast("int")).otherwise(F.col("shard") * salts + F.col("salt"))
+    joined = asked.unionByName(placed).repartitionById(shards * salts, cell).sortWithinPartitions("shard", "salt", "side", "block")
     answers = joined.mapInArrow(answer, "block long, part int, data binary").repartition("block").sortWithinPartitions("block", "part", F.xxhash64("data"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,14 +291,16 @@ def quality(
     text_col: str = "text",
     lang_col: str = "lang",
     quantile: float = 0.995,
-    least: int = 50,
+    weight: int = 50,
 ) -> DataFrame:
-    """One row per input row: ``doc_id, lang, n_symbols, perplexity, threshold, kept``.
+    """One row per input row: ``doc_id, lang, n_symbols, perplexity, threshold, kept, in_training``.
 
     ``trusted`` has the ids of trusted documents. Three of four train the model, the
     rest are the sample whose perplexities give each language its ``quantile`` as
-    the threshold; a language with fewer than ``least`` of them gets that of all.
-    Quantiles are exact on log perplexities in steps of 0.001.
+    the threshold. A language's log quantile is drawn to that of all, which counts as
+    ``weight`` documents, so it moves smoothly with the language's number of them.
+    Quantiles are exact on log perplexities in steps of 0.001. ``in_training`` marks
+    the documents that the model has seen, whose perplexity is too low.
 
     Edge cases: a null or empty text has no symbols, a null perplexity and is not
     kept; a null language is a language of its own; without trusted documents there
@@ -309,10 +322,14 @@ def quality(
         total = F.sum("k").over(Window.partitionBy("of"))
         return rows.withColumn("upto", upto).withColumn("total", total).filter(F.col("upto") >= F.col("total") * quantile).groupBy("of").agg(F.min("bin").alias("bin"), F.max("total").alias("total"))
 
-    by_lang = written(cut(bins).filter(F.col("total") >= least).select("of", F.exp(F.col("bin") / 1000).alias("own")), "cuts")
     overall = cut(bins.groupBy("bin").agg(F.sum("k").alias("k")).withColumn("of", F.lit(""))).first()
-    pooled = float(np.exp(overall["bin"] / 1000)) if overall else None
+    pooled = overall["bin"] / 1000 if overall else None
+    mixed = (F.col("bin") / 1000 * F.col("total") + F.lit(pooled).cast("double") * weight) / (F.col("total") + weight)
+    by_lang = written(cut(bins).select("of", F.exp(mixed).alias("own")), "cuts")
+    pooled = None if pooled is None else float(np.exp(pooled))
     out = scores.withColumn("of", F.coalesce("lang", F.lit(""))).join(maybe_broadcast(by_lang, by_lang.count()), "of", "left")
+    seen = ids.filter(~calibration(F.col("doc_id"))).withColumn("seen", F.lit(True))
+    out = out.join(maybe_broadcast(seen, n_ids), "doc_id", "left")
     perplexity = F.when(F.col("n") > 0, F.exp(-F.col("log_p") / F.col("n")))
     threshold = F.coalesce("own", F.lit(pooled).cast("double"))
-    return out.select("doc_id", "lang", F.col("n").alias("n_symbols"), perplexity.alias("perplexity"), threshold.alias("threshold"), ((F.col("n") > 0) & F.coalesce(perplexity <= threshold, F.lit(True))).alias("kept"))
+    return out.select("doc_id", "lang", F.col("n").alias("n_symbols"), perplexity.alias("perplexity"), threshold.alias("threshold"), ((F.col("n") > 0) & F.coalesce(perplexity <= threshold, F.lit(True))).alias("kept"), F.coalesce("seen", F.lit(False)).alias("in_training"))

@@ -278,7 +278,7 @@ def test_pipeline(spark):
     bad = {k for k, n in lines.items() if n >= 5 and n > pages[k[0]] * 0.1}
     for d in docs:
         d["text"] = "\n".join(x for x in d["text"].split("\n") if (d["source"], x.strip(" \t\r")) not in bad)
-    roots = components({d["doc_id"]: shingles(d["text"]) for d in docs})
+    roots = components({d["doc_id"]: shingles(d["text"], 5) for d in docs})
     docs = [d for d in docs if roots[d["doc_id"]] == d["doc_id"]]
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     gone = {d for d, _ in windows([(d["doc_id"], d["text"]) for d in docs], bench)}
@@ -291,3 +291,55 @@ def test_pipeline(spark):
 
     coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert got == {d: len(coder.encode(t, add_special_tokens=False).ids) + 1 for d, t in want.items()}
+
+
+def test_stages_keep_clean_rows_of_any_id(spark, tmp_path):
+    """Null and repeated ids lose no clean row; near copies lose all but one row; a language not learned is rejected."""
+    rng = np.random.default_rng(1)
+    prose = lambda k, n=40: " ".join(f"w{k}x{rng.integers(0, 10**6)}" for _ in range(n))
+    a, b, c, d, item = (prose(k) for k in "abcde")
+    rows = [(None, a), (None, f"{item} {b}"), (None, b), (7, c), (7, d), (7, c), (8, d), (9, prose("f"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = [r.text for r in corpus_pipeline.drop_contaminated(spark, df, str(tmp_path)).collect()]
+    assert sorted(left) == sorted(t for _, t in rows if not t.startswith(item))
+    left = [r.text for r in corpus_pipeline.drop_near_copies(spark, df, str(tmp_path)).collect()]
+    assert sorted(left) == sorted({t for _, t in rows})
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(150)
+    other = ["Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler.", "zq xkvj wqzx pfgh bvkw zzxq jjkq wvvz xqzj kkvw"]
+    more = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(other)], "doc_id long, text string").selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang", "'s' AS source", "1L AS n_chars")
+    kept = {r.doc_id for r in corpus_pipeline.keep_languages(spark, docs.unionByName(more), "").collect()}
+    real = {r.doc_id for r in docs.collect() if any(x.isalpha() for x in r.text)}
+    assert real <= kept and not kept & {10**6, 10**6 + 1}
+
+
+def test_language_distances(spark, docs):
+    """Predictions and scores against rank lists and distances computed one by one."""
+    model = language_id.learn(docs)
+    lists = {lang: {int(model.keys[k]): int(model.place[k, j]) for k in np.flatnonzero(model.place[:, j] >= 0)} for j, lang in enumerate(model.langs)}
+    got = {r.doc_id: r for r in language_id.identify(docs, model, keep=("doc_id",)).collect()}
+    for r in docs.limit(60).collect():
+        own = collections.Counter(language_id.ngram_keys(r.text or "").tolist())
+        ranked = sorted(own, key=lambda k: (-own[k], k))[: model.size]
+        if not ranked:
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        far = {lang: sum(abs(at[k] - i) if k in at else model.size for i, k in enumerate(ranked)) for lang, at in lists.items()}
+        best = min(sorted(far), key=far.get)
+        assert got[r.doc_id].lang_pred == best and math.isclose(got[r.doc_id].score, 1 - far[best] / (len(ranked) * model.size))
+
+
+def test_quality_thresholds(spark):
+    """Quantiles, their pull to the whole and the verdicts, from the perplexities that the query returns."""
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1 AND toxic = 0").collect()}
+    got = q.op1_quality(spark, sf).withColumn("held", quality.calibration(F.col("doc_id"))).collect()
+    held = [(r.lang or "", math.ceil(math.log(r.perplexity) * 1000 - 1e-9)) for r in got if r.doc_id in labels and r.held and r.n_symbols]
+    cut = lambda xs: sorted(xs)[math.ceil(len(xs) * 0.995 - 1e-9) - 1] / 1000
+    pooled = cut([x for _, x in held])
+    for r in got:
+        own = [x for lang, x in held if lang == (r.lang or "")]
+        want = math.exp((cut(own) * len(own) + pooled * 50) / (len(own) + 50)) if own else math.exp(pooled)
+        assert math.isclose(r.threshold, want, rel_tol=2e-3)
+        assert r.kept == (r.n_symbols > 0 and r.perplexity <= r.threshold)
+        assert r.in_training == (r.doc_id in labels and not r.held)
