@@ -12,29 +12,34 @@ from pyspark.sql import functions as F
 
 from lexstrata.llm.common import maybe_broadcast, written
 from lexstrata.llm.decontaminate import contaminated
-from lexstrata.llm.language_id import UNKNOWN, identify, learn
+from lexstrata.llm.language_id import UNKNOWN, identify, learn, least_scores
 from lexstrata.llm.line_dedup import line_dedup
 from lexstrata.llm.near_dedup import near_dedup
 from lexstrata.llm.packing import pack_documents
 from lexstrata.llm.queries import tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A text whose profile shares so little with every language's is no prose of any.
+#: The least score of a language that no held-out row has.
 LEAST_SCORE = 0.2
+#: Near copies are judged by shingles of five words.
+SHINGLE = 5
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows of these ids; a null id is an id like others."""
-    gone = written(ids.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+def without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in the one column of ``gone``."""
+    gone = written(gone.toDF("__gone").distinct(), "gone")
     side = maybe_broadcast(gone, gone.count())
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    return docs.join(side, F.col(key) == F.col("__gone"), "left_anti")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of no known language: without a letter, or far from every profile."""
+    """Drop documents of no known language: without a letter, or farther from every profile than held-out texts of the language are."""
     docs = docs.select(*COLUMNS)
-    found = identify(docs, learn(docs), keep=COLUMNS, lang_name="__lang", score_name="__score")
-    return found.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(*COLUMNS)
+    found = written(identify(docs, learn(docs), keep=COLUMNS, lang_name="__lang", score_name="__score"), "scored")
+    least = F.lit(LEAST_SCORE)
+    for lang, score in sorted(least_scores(found, "__lang", "__score").items()):
+        least = F.when(F.col("__lang") == lang, score).otherwise(least)
+    return found.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= least)).select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,21 +47,34 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup(docs.select(*COLUMNS), report=None).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__key``: the id where only one row has it; rows with a null or repeated id get numbers beyond all ids.
+
+    Such rows are rare, so the table is written anew only if there are any.
+    """
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    odd = written(ids.filter("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__id"), F.lit(True).alias("__odd")), "odd-ids")
+    n = odd.count()
+    if not n:
+        return docs.withColumn("__key", F.col("doc_id"))
+    top = docs.agg(F.max("doc_id").alias("m")).first()["m"] or 0
+    marked = docs.join(maybe_broadcast(odd, n), F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    fresh = F.lit(top + 1) + F.monotonically_increasing_id()
+    return written(marked.withColumn("__key", F.when(F.col("__odd"), fresh).otherwise(F.col("doc_id"))).select(*COLUMNS, "__key"), "keyed")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component of near copies; of rows that repeat an id, one."""
-    docs = docs.select(*COLUMNS)
-    found = near_dedup(docs)
-    out = without(docs, found.filter("NOT kept")).select(*COLUMNS)
-    again = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    if not again.limit(1).count():
-        return out
-    return out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id IS NULL"))
+    """Keep one document of each component of near copies (five words a shingle). Rows are told apart, whatever their ids."""
+    docs = keyed(docs.select(*COLUMNS))
+    found = near_dedup(docs, id_col="__key", words_in=SHINGLE)
+    return without(docs, "__key", found.filter("NOT kept").select("doc_id")).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
-    docs = docs.select(*COLUMNS)
-    return without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))).select(*COLUMNS)
+    """Drop documents that hold a benchmark item. Texts are told apart by their digest, so ids don't matter."""
+    docs = docs.select(*COLUMNS).withColumn("__text", F.sha2(F.coalesce("text", F.lit("")), 256))
+    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="__text")
+    return without(docs, "__text", found.select("doc_id")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
