@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexstrata.llm.common import maybe_broadcast, small_table, written
+from lexstrata.llm.common import BROADCAST_ROWS, maybe_broadcast, small_table, written
 
 #: Ids of a document end with this one.
 END_ID = 2
@@ -138,11 +138,14 @@ def pack_documents(df: DataFrame, tokenizer_path: str, pattern: str, id_col: str
     pieces = written(token_pieces(df, tokenizer_path, pattern, id_col, text_col, max_len, special_tokens), "pieces")
     counts = written(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "piece-counts")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # a task's bases are one row of ``max_len`` numbers, so the table grows with the tasks alone
+    entries = counts.select("part", F.struct("length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).alias("e"))
+    sparse = entries.groupBy("part").agg(F.map_from_entries(F.collect_list("e")).alias("m"))
+    bases = written(sparse.select("part", F.transform(F.sequence(F.lit(1), F.lit(max_len)), lambda i: F.try_element_at("m", i.cast("long"))).alias("bases")), "piece-bases")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = plan_bins(histogram, max_len)
     layout = small_table(spark, plan, **dict.fromkeys(("length", "lo", "hi", "first_bin", "per_bin", "at"), pa.int64()))
-    placed = pieces.join(maybe_broadcast(bases, counts.count()), ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
+    placed = pieces.join(maybe_broadcast(bases, bases.count(), BROADCAST_ROWS // max_len), "part").withColumn("rank", F.get("bases", (F.col("length") - 1).cast("int")) + F.col("nth")).drop("bases")
     placed = placed.join(maybe_broadcast(layout, len(plan)), "length").filter("rank >= lo AND rank < hi")
     return placed.select(
         "doc_id", "piece", "start", "length", "ids",

@@ -17,10 +17,11 @@ from lexstrata.llm.packing import pack_documents
 from lexstrata.llm.quality import quality
 from lexstrata.llm.url_filter import HOST_RULES, PATTERN_RULES, compile_pattern, filter_urls
 from lexstrata.llm.warc import derivatives, responses_of
+from lexstrata.sources.shared import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,3 +87,20 @@ def test_exact_dedup_spreads_null_ids(spark):
         out = exact_dedup(df, digest=digest).collect()
         assert len(out) == 304 and sum(r.kept for r in out) == 4
         assert {(r.keep_id, r.group_size) for r in out} == {(7, 301), (8, 1), (None, 2)}
+
+
+def test_ids_are_those_of_tokenizers(spark):
+    """Random texts of every script, controls, blanks, surrogate-like code points, emoji and the added token."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(5)
+    pools = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "\r\n", "\t", "\x00", "\x7f", "\u00a0", "\u2028", "\u3000", "\ufeff", "'s", "'LL", "don't", "12345", "é", "ß", "ﬁ", "近日", "한국", "العربية", "हिन्दी", "ไทย", "😀", "👩‍👩‍👧", "\U0001f1e6\U0001f1f9", "\ufffd", "\ud7ff", "\ue000", "word", "Word", "WORD", "_x", "--", "...", "https://a.b/c?d=1#e"]
+    texts = ["".join(rng.choice(pools, size=int(rng.integers(1, 60)))) for _ in range(400)] + ["".join(chr(int(c)) for c in rng.integers(1, 0xD800, 200)) for _ in range(100)] + ["<|endoftext|>", "a<|endoftext|>b", "", None, "x" * 5000, " " * 3000]
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in pack_documents(df, *q.tokenizer()).orderBy("doc_id", "piece").collect():
+        got[r.doc_id] = got.get(r.doc_id, []) + np.frombuffer(r.ids, "<u4").tolist()
+    for i, t in enumerate(texts):
+        assert got[i] == [*coder.encode(t or "", add_special_tokens=False).ids, 2], repr(t)
