@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexstrata.llm.common import BROADCAST_ROWS, maybe_broadcast, mix64, salt_of, slices, text_buffers, written
+from lexstrata.llm.common import maybe_broadcast, mix64, salt_of, slices, text_buffers, written
 from lexstrata.llm.components import components
 
 #: Buckets of more than a task's rows divided by this are hot.
@@ -217,48 +217,49 @@ def left_apart(docs: DataFrame, first: DataFrame, found: DataFrame, percent: int
     within = x.join(y, ["r", "band"]).filter(f"{apart_pair} AND {least} <= 0").select("x_id", "y_id")
 
     loose = spelled.select("r", "id", "n", "i", "comp", "rs", "text", "odd", F.explode("own").alias("s"))
-    # holders by component first: combined map-side, and a shingle of one component alone links nothing
-    cells = loose.groupBy("r", "s", F.col("comp").alias("y_comp")).agg(F.count(F.lit(1)).alias("k"))
-    held = written(cells.groupBy("r", "s").agg(F.sum("k").alias("holders"), F.count(F.lit(1)).alias("comps")), "held")
-    rank = F.row_number().over(Window.partitionBy("r", "id", "n", "i", "text").orderBy("holders", "s"))
-    ranked = loose.filter("odd").join(held, ["r", "s"]).withColumn("rank", rank)
+    # holders are combined map-side; a shingle that only one component holds links nothing
+    held = loose.groupBy("r", "s").agg(F.count(F.lit(1)).alias("holders"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2")
+    held = written(held.select("r", "s", "holders"), "held")
+    crossing = maybe_broadcast(held, held.count())
+    # of x's shingles, those held by its own component alone come first in rank: no y of another component has them
+    own = Window.partitionBy("r", "id", "n", "i", "text")
+    ranked = loose.filter("odd").join(crossing, ["r", "s"]).withColumn("rank", F.col("n") - F.col("i") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("holders", "s")))
     # what x must share outside r with the smallest y that can be similar; more than that only lowers the rank that counts
-    asks = f"ceil(({percent} * (n + ceil(n * {percent} / 100)) - {100 + percent} * i) / {100 + percent})"
-    ranked = ranked.filter(f"comps > 1 AND rank <= n - i - greatest({asks}, 1) + least(greatest({asks}, 1), {together})")
-    x = side(ranked, "x", "s", "rank").join(cells.join(held.filter("comps > 1").select("r", "s"), ["r", "s"]).drop("k"), ["r", "s"]).filter("x_comp <> y_comp")
-    y = side(loose.join(held.filter("comps > 1").select("r", "s"), ["r", "s"]), "y", "s")
+    asks = f"greatest(ceil(({percent} * (n + ceil(n * {percent} / 100)) - {100 + percent} * i) / {100 + percent}), 1)"
+    x = side(ranked.filter(f"rank <= n - i - {asks} + least({asks}, {together})"), "x", "s", "rank")
+    y = side(loose.join(crossing.drop("holders"), ["r", "s"]), "y", "s")
     shared = f"ceil(({least}) / {100 + percent})"
-    shares = x.join(y, ["r", "s", "y_comp"]).filter(f"{apart_pair} AND {least} > 0 AND rank <= x_n - x_i - {shared} + least({shared}, {together}) AND {shared} <= y_n - y_i")
+    shares = x.join(y, ["r", "s"]).filter(f"{apart_pair} AND {least} > 0 AND rank <= x_n - x_i - {shared} + least({shared}, {together}) AND {shared} <= y_n - y_i")
     beyond = shares.groupBy("r", "x_id", "y_id", "x_n", "y_n", "x_i", "y_i", "x_text", "y_text").agg(F.count(F.lit(1)).alias("met"), F.first(F.expr(f"least({shared}, {together})")).alias("asked")).filter("met >= asked").select("x_id", "y_id")
 
     pairs = within.unionByName(beyond).select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")).distinct()
     return pairs.join(first, ["a", "b"], "left_anti")
 
 
-def smallest_mates(nodes: DataFrame) -> DataFrame:
+def smallest_mates(nodes: DataFrame, least: int = 10_000) -> DataFrame:
     """``a, b``: each node with the smallest node of every bucket that they share, over all tables.
 
-    A bucket's smallest is found by a grouping with map-side combining, and only
-    buckets of two or more are kept. They go back to the nodes by a join: as a
-    broadcast if their counted number allows it; else the few buckets that hold more
-    than a fraction of a task's share (at most ``HOT_SHARE`` for each task, so bounded)
-    are broadcast, and the others shuffled. So no task sees a hot bucket alone.
+    A bucket is hot if it has more than ``least`` nodes and than a task's mean rows
+    divided by ``HOT_SHARE``. Its sub-key is then as frequent, so the sub-keys of the
+    first collection are counted (a twelfth of the rows, combined map-side), and
+    only the buckets of frequent ones are looked at. Their number is bounded by the
+    number of tasks; their smallest nodes are found by a grouping and broadcast. The
+    other buckets, none of them large, are sorted by key.
     """
-
-    def tables(of: DataFrame) -> DataFrame:
-        return of.select("doc_id", "b", F.explode("a").alias("x")).select("doc_id", "x", F.explode("b").alias("y")).select(F.xxhash64("x", "y").alias("key"), "doc_id")
-
-    buckets = tables(nodes).groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
-    shared = written(buckets.filter("n > 1"), "buckets")
-    whole = shared.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    rows = tables(nodes)
-    if whole["k"] <= BROADCAST_ROWS:
-        met = rows.join(F.broadcast(shared.select("key", "low")), "key")
-    else:
-        tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        most = max(1000, whole["n"] // (HOT_SHARE * tasks))
-        part = lambda hot: shared.filter(F.col("n") > most if hot else F.col("n") <= most).select("key", "low")
-        met = rows.join(F.broadcast(part(True)), "key").unionByName(rows.join(part(False).hint("merge"), "key"))
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = nodes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("a") * F.size("b")), F.lit(0)).alias("rows")).first()
+    most = max(least, size["rows"] // (HOT_SHARE * tasks))
+    rows = nodes.select("doc_id", "b", F.explode("a").alias("x")).select("doc_id", "x", F.explode("b").alias("y")).select("x", F.xxhash64("x", "y").alias("key"), "doc_id")
+    cold, found = rows, None
+    if size["n"] > most:
+        often = written(nodes.select(F.explode("a").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("x"), "sub-keys")
+        if often.limit(1).count():
+            hot = rows.join(F.broadcast(often), "x").groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+            hot = written(hot.select("key", "low"), "hot-buckets")
+            marked = rows.join(F.broadcast(hot), "key", "left")
+            cold, found = marked.filter("low IS NULL"), marked.filter("low IS NOT NULL").select("doc_id", "low")
+    met = cold.select("doc_id", F.min("doc_id").over(Window.partitionBy("key")).alias("low"))
+    met = met if found is None else met.unionByName(found)
     return met.filter("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct()
 
 
