@@ -1,14 +1,14 @@
 """Line dedup by site-relative frequency.
 
 A line is boilerplate of a host if the share of the host's pages that contain it
-exceeds ``max_ratio``. Pages are counted in the same pass as lines (as a null
-line of every page): one aggregation with map-side combining, written once, gives
-both.
-
-The ratio is high on purpose. Copies of a page count as pages, so a low ratio would
-take every line out of all copies of a frequent document, before a later stage
-could keep one of them. ``min_pages`` is evidence, not size: on a host of a few
-pages, two copies of one page would pass any ratio and lose all their text.
+exceeds ``max_ratio``. Rows of a host with equal texts are one page: otherwise a
+document copied often enough would lose every line in all its copies, before a
+later stage could keep one of them. So the ratio can be low. Copies are combined
+map-side before the shuffle; pages are then counted in the same pass as lines (as a
+null line of every page), and the counts are written once.
+
+``min_pages`` is evidence, not size: on a host of a few pages, two near copies of
+one page would pass any ratio and lose all that they share.
 """
 
 from __future__ import annotations
@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 
 from lexstrata.llm.common import BROADCAST_ROWS, free_names, salt_of, written
 
+#: Share of a host's pages beyond which a line is boilerplate.
+MAX_RATIO = 0.01
+#: Pages of a host that must share a line at least.
+MIN_PAGES = 5
 #: Bytes of lines that a broadcast list may have.
 BROADCAST_BYTES = 64 << 20
 #: Space, tab and carriage return at a line's ends are not part of the line.
@@ -33,15 +37,16 @@ def _line(x: Column) -> Column:
     return F.btrim(x, F.lit(BLANKS))
 
 
-def boilerplate_lines(df: DataFrame, host: Column, text_col: str = "text", max_ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
+def boilerplate_lines(df: DataFrame, host: Column, text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``h, line, pages, total``: the lines of each host that exceed the ratio.
 
     At most (mean distinct lines of a page) / ``max_ratio`` lines of a host can.
     """
-    lines = F.array_distinct(F.filter(F.transform(F.split(F.col(text_col), "\n", -1), _line), lambda x: x != ""))
+    lines = F.array_distinct(F.filter(F.transform(F.split(F.col("text"), "\n", -1), _line), lambda x: x != ""))
     none = F.array().cast("array<string>")
     marks = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(lines, none))
-    counts = df.select(F.coalesce(host, F.lit("")).alias("h"), F.explode(marks).alias("line")).groupBy("h", "line").agg(F.count(F.lit(1)).alias("pages"))
+    pages = df.select(F.coalesce(host, F.lit("")).alias("h"), F.col(text_col).alias("text")).distinct()
+    counts = pages.select("h", F.explode(marks).alias("line")).groupBy("h", "line").agg(F.count(F.lit(1)).alias("pages"))
     counts = written(counts.filter((F.col("pages") >= min_pages) | F.col("line").isNull()), "line-counts")
     # a host's lines are few after the filter: at least min_pages pages share each
     totals = counts.filter("line is null").select("h", F.col("pages").alias("total"))
@@ -52,8 +57,8 @@ def line_dedup(
     df: DataFrame,
     host: Column | None = None,
     text_col: str = "text",
-    max_ratio: float = 0.1,
-    min_pages: int = 5,
+    max_ratio: float = MAX_RATIO,
+    min_pages: int = MIN_PAGES,
     report: str | None = "line_report",
     broadcast_rows: int = BROADCAST_ROWS,
     salts: int = 16,
@@ -66,10 +71,10 @@ def line_dedup(
 
     A line that fewer than ``min_pages`` pages of the host share always stays, so
     hosts of a few pages lose nothing. Edge cases: a null host counts as the empty
-    host; a null text stays null and has 0 lines, but its page counts in the
+    host; a null text stays null and has 0 lines, but counts as a page in the
     host's total; an empty text is one empty line, and empty lines always stay; a
     text without dropped lines comes back byte for byte; a text that consists of
-    boilerplate only becomes empty. Repeated rows count as pages each.
+    boilerplate only becomes empty. Repeated rows are one page, and each is cleaned.
     """
     host = F.col("source") if host is None else host
     found = written(boilerplate_lines(df, host, text_col, max_ratio, min_pages).select("h", "line"), "boilerplate")

@@ -64,14 +64,15 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = r"""
-WITH pages AS (SELECT coalesce(source, '') AS h, count(*) AS total FROM documents GROUP BY 1),
+WITH texts AS (SELECT DISTINCT coalesce(source, '') AS h, text FROM documents),
+pages AS (SELECT h, count(*) AS total FROM texts GROUP BY 1),
 lines AS (
-  SELECT coalesce(source, '') AS h, unnest(list_distinct([trim(x, E' \t\r') FOR x IN string_split(text, E'\n')])) AS line
-  FROM documents),
+  SELECT h, unnest(list_distinct([trim(x, E' \t\r') FOR x IN string_split(text, E'\n')])) AS line
+  FROM texts),
 counts AS (SELECT h, line, count(*) AS pages FROM lines WHERE line <> '' GROUP BY 1, 2),
 bad AS (
   SELECT h, list(line) AS bad FROM counts JOIN pages USING (h)
-  WHERE counts.pages >= 5 AND counts.pages > total * CAST(0.1 AS DOUBLE) GROUP BY 1),
+  WHERE counts.pages >= 5 AND counts.pages > total * CAST(0.01 AS DOUBLE) GROUP BY 1),
 kept AS (
   SELECT doc_id, source, text, string_split(text, E'\n') AS ls,
          [x FOR x IN string_split(text, E'\n') IF NOT list_contains(coalesce(bad, []), trim(x, E' \t\r'))] AS ks

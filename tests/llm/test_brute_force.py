@@ -272,10 +272,11 @@ def test_pipeline(spark):
     """All stages against plain ones; packing is checked by what it packs."""
     docs = [r.asDict() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     docs = [d for d in docs if any(c.isalpha() for c in d["text"])]
-    pages, lines = collections.Counter(d["source"] for d in docs), collections.Counter()
-    for d in docs:
-        lines.update({(d["source"], x.strip(" \t\r")) for x in d["text"].split("\n")} - {(d["source"], "")})
-    bad = {k for k, n in lines.items() if n >= 5 and n > pages[k[0]] * 0.1}
+    texts = {(d["source"], d["text"]) for d in docs}
+    pages, lines = collections.Counter(s for s, _ in texts), collections.Counter()
+    for source, text in texts:
+        lines.update({(source, x.strip(" \t\r")) for x in text.split("\n")} - {(source, "")})
+    bad = {k for k, n in lines.items() if n >= 5 and n > pages[k[0]] * 0.01}
     for d in docs:
         d["text"] = "\n".join(x for x in d["text"].split("\n") if (d["source"], x.strip(" \t\r")) not in bad)
     roots = components({d["doc_id"]: shingles(d["text"], 5) for d in docs})

@@ -65,7 +65,7 @@ def test_lines(docs, empty):
     out = line_dedup(docs, min_pages=2, max_ratio=0.3)
     assert set(out.columns) == set(docs.columns) and out.count() == len(ROWS)
     got = {r.doc_id: r.text for r in out.filter("doc_id IS NOT NULL").collect()}
-    assert got[1] == "" and got[3] is None and got[5] == LONG and got[7] == "\n\n \t"
+    assert got[1] == PROSE and got[3] is None and got[5] == LONG and got[7] == "\n\n \t"
     assert line_dedup(empty).count() == 0
 
 

@@ -45,6 +45,17 @@ def test_line_dedup_by_shuffle(spark):
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
+def test_line_dedup_counts_copies_once(spark):
+    """A group of copies of over a third of a host's rows keeps its text; a line of many different pages goes, from the copies too."""
+    rows = [(i, "a", "copied line\nits second line\nshare this page") for i in range(60)]
+    rows += [(100 + i, "a", f"line {i}\n share this page\r\nend {i}") for i in range(80)]
+    rows += [(200 + i, "small", f"only {i}\nshare this page") for i in range(4)]
+    rows += [(300, "a", "share this page")]
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    want = {i: "copied line\nits second line" for i in range(60)} | {100 + i: f"line {i}\nend {i}" for i in range(80)}
+    assert got == want | {300: ""} | {200 + i: f"only {i}\nshare this page" for i in range(4)}
+
+
 words = st.lists(st.sampled_from(sorted({w for _, t in TEMPLATES for w in words_of(t)}) + [b"x%d" % i for i in range(9)]), max_size=40)
 
 
