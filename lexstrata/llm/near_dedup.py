@@ -30,6 +30,8 @@ from lexstrata.llm.components import components
 
 #: Buckets of more than a task's rows divided by this are hot.
 HOT_SHARE = 8
+#: 64-bit words of a bitmap.
+MARKS = 4
 #: Bytes of text that a task turns into arrays at once.
 SLICE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -138,22 +140,38 @@ def signatures(docs: DataFrame, hashes: TensorHash, words_in: int = 2) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {id_type}, n_shingles long, set_key binary, a array<long>, b array<long>")
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """``MARKS`` words in which each shingle's hash sets one bit; so a set has at least as many shingles as bits."""
+    out = np.zeros(MARKS, np.uint64)
+    at = shingles % np.uint64(64 * MARKS)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
+def bits(word: str, first: int = 0) -> str:
+    """SQL for the number of bits of a combination of two bitmaps; ``{k}`` in ``word`` is a word's place."""
+    return "(" + " + ".join(f"bit_count({word.format(k=k)})" for k in range(first, first + MARKS)) + ")"
+
+
 def compared(docs: DataFrame, pairs: DataFrame, n_pairs: int | None = None, spell: bool = False, most: int = 256, words_in: int = 2) -> DataFrame:
     """For distinct candidates ``(a, b)`` the full sets' sizes and intersection: ``a, b, n_a, n_b, common``.
 
-    With ``spell``, also the shingles of ``a`` that ``b`` has not (``own``). Rows of a
+    With ``spell``, also the shingles of ``a`` that ``b`` has not (``own``), with their
+    bitmap and that of the shingles of ``b`` that ``a`` has not (``marks``). Rows of a
     ``b`` come as one sorted run, its own text first, so a task holds one set and
     streams the others past it. A ``b`` of more than ``most`` partners is dealt over
     several runs. If the pairs are counted and few, their ids are broadcast to the
     texts; else both are shuffled by id.
     """
-    hot = written(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("b", F.expr(f"n div {most} + 1").alias("runs")), "hot")
+    counted = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).select("b", F.expr(f"if(n > {most}, n div {most} + 1, 1)").alias("runs"))
+    hot = written(counted.filter("runs > 1"), "hot")
     dealt = pairs.join(maybe_broadcast(hot, hot.count()), "b", "left")
     dealt = dealt.select("a", "b", F.when(F.col("runs").isNull(), 0).otherwise(F.pmod(F.xxhash64("a"), "runs")).alias("run"))
-    roles = dealt.select(F.col("a").alias("doc_id"), "b", "run", F.lit(1).alias("part")).unionByName(dealt.select(F.col("b").alias("doc_id"), "b", "run", F.lit(0).alias("part")).distinct())
+    heads = counted.select("b", F.explode(F.expr("sequence(0L, runs - 1)")).alias("run"))
+    roles = dealt.select(F.col("a").alias("doc_id"), "b", F.col("run").cast("long").alias("run"), F.lit(1).alias("part")).unionByName(heads.select(F.col("b").alias("doc_id"), "b", "run", F.lit(0).alias("part")))
     roles = roles.hint("merge") if n_pairs is None else maybe_broadcast(roles, 2 * n_pairs)
     rows = docs.select("doc_id", "text").join(roles, "doc_id").repartition("b", "run").sortWithinPartitions("b", "run", "part").select("doc_id", "b", "run", "part", "text")
-    names = ["a", "b", "n_a", "n_b", "common", "own"]
+    names = ["a", "b", "n_a", "n_b", "common", "own", "marks"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, np.zeros(0, np.uint64)
@@ -169,14 +187,20 @@ def compared(docs: DataFrame, pairs: DataFrame, n_pairs: int | None = None, spel
                         continue
                     at = np.minimum(np.searchsorted(own, shingles), max(len(own) - 1, 0))
                     both = own[at] == shingles if len(own) else np.zeros(len(shingles), bool)
-                    found.append((ids[i], bs[i], len(shingles), len(own), int(both.sum()), shingles[~both].view(np.int64) if spell else None))
-                columns = list(zip(*found)) if found else [()] * 6
-                kinds = [piece.schema.field(0).type, piece.schema.field(1).type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                    outside = marks = None
+                    if spell:
+                        lost = np.ones(len(own), bool)
+                        lost[at[both]] = False
+                        outside = shingles[~both].view(np.int64)
+                        marks = np.append(bitmap(shingles[~both]), bitmap(own[lost])).view(np.int64)
+                    found.append((ids[i], bs[i], len(shingles), len(own), int(both.sum()), outside, marks))
+                columns = list(zip(*found)) if found else [()] * 7
+                kinds = [piece.schema.field(0).type, piece.schema.field(1).type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(compare, f"a {kind}, b {kind}, n_a long, n_b long, common long, own array<long>")
-    return out if spell else out.drop("own")
+    out = rows.mapInArrow(compare, f"a {kind}, b {kind}, n_a long, n_b long, common long, own array<long>, marks array<long>")
+    return out if spell else out.drop("own", "marks")
 
 
 def left_apart(docs: DataFrame, first: DataFrame, found: DataFrame, percent: int, together: int = 4, words_in: int = 2) -> DataFrame:
@@ -191,6 +215,11 @@ def left_apart(docs: DataFrame, first: DataFrame, found: DataFrame, percent: int
     the smallest r that both met. So a group's pairs are not enumerated: of a shingle's
     holders, x and y meet only across components, and x only while its rank can still
     count with the smallest set that could be similar to it.
+
+    Bitmaps bound both parts for a pair: x & y & r has at most as many shingles as r,
+    less the bits of what x or y miss of r; the rest at most those of x outside r, less
+    the bits that y's have not, and the other way round. A pair whose bounds rule the
+    similarity out is not made.
     """
     comp = found.select(F.col("node").alias("a"), "component")
     edges = first.select("a", "b").distinct().join(comp, "a", "left").withColumn("comp", F.coalesce("component", "a"))
@@ -202,10 +231,13 @@ def left_apart(docs: DataFrame, first: DataFrame, found: DataFrame, percent: int
     around = written(edges.join(maybe_broadcast(meet, n_meet), "b").select("a", "b", "comp", (F.col("comp") != F.col("major")).alias("odd")), "around")
     met = around.groupBy("a").agg(F.collect_set("b").alias("rs"))  # at most one for each table
     spelled = compared(docs, around.select("a", "b"), around.count(), spell=True, words_in=words_in).join(around.join(met, "a"), ["a", "b"])
-    spelled = spelled.select(F.col("a").alias("id"), F.col("b").alias("r"), F.col("n_a").alias("n"), F.col("common").alias("i"), "comp", "odd", "rs", "own", F.xxhash64("own").alias("text"))
+    spelled = spelled.select(F.col("a").alias("id"), F.col("b").alias("r"), F.col("n_a").alias("n"), F.col("n_b").alias("n_r"), F.col("common").alias("i"), "comp", "odd", "rs", "own", "marks", F.xxhash64("own").alias("text"))
     spelled = written(spelled.dropDuplicates(["id", "r", "n", "i", "text"]), "spelled")  # rows that share an id: each of its sets once
-    side = lambda df, name, *more: df.select("r", *(F.col(k).alias(f"{name}_{k}") for k in ("id", "n", "i", "comp", "rs", "text")), *more)
+    side = lambda df, name, *more: df.select("r", *(F.col(k).alias(f"{name}_{k}") for k in ("id", "n", "n_r", "i", "comp", "rs", "marks", "text")), *more)
     apart_pair = "x_id <> y_id AND x_comp <> y_comp AND array_min(array_intersect(x_rs, y_rs)) = r"
+    inside = f"least(x_i, y_i, x_n_r - {bits('x_marks[{k}] | y_marks[{k}]', MARKS)})"
+    outside = f"least(x_n - x_i - {bits('x_marks[{k}] & ~y_marks[{k}]')}, y_n - y_i - {bits('y_marks[{k}] & ~x_marks[{k}]')})"
+    fits = f"{100 + percent} * ({inside} + {outside}) >= {percent} * (x_n + y_n)"
     least = f"{percent} * (x_n + y_n) - {100 + percent} * least(x_i, y_i)"  # over 0: as many shingles by (100 + percent) must be shared outside r
 
     band = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(1.02)))
@@ -214,9 +246,9 @@ def left_apart(docs: DataFrame, first: DataFrame, found: DataFrame, percent: int
     x = spelled.filter("odd").withColumn("low", low).withColumn("high", high).filter("low <= high")
     x = side(x, "x", F.explode(F.sequence(band(F.col("low")), band(F.col("high")))).alias("band"))
     y = side(spelled, "y", band(F.col("n")).alias("band"))
-    within = x.join(y, ["r", "band"]).filter(f"{apart_pair} AND {least} <= 0").select("x_id", "y_id")
+    within = x.join(y, ["r", "band"]).filter(f"{apart_pair} AND {least} <= 0 AND {fits}").select("x_id", "y_id")
 
-    loose = spelled.select("r", "id", "n", "i", "comp", "rs", "text", "odd", F.explode("own").alias("s"))
+    loose = spelled.select("r", "id", "n", "n_r", "i", "comp", "rs", "marks", "text", "odd", F.explode("own").alias("s"))
     # holders are combined map-side; a shingle that only one component holds links nothing
     held = loose.groupBy("r", "s").agg(F.count(F.lit(1)).alias("holders"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2")
     held = written(held.select("r", "s", "holders"), "held")
@@ -229,7 +261,7 @@ def left_apart(docs: DataFrame, first: DataFrame, found: DataFrame, percent: int
     x = side(ranked.filter(f"rank <= n - i - {asks} + least({asks}, {together})"), "x", "s", "rank")
     y = side(loose.join(crossing.drop("holders"), ["r", "s"]), "y", "s")
     shared = f"ceil(({least}) / {100 + percent})"
-    shares = x.join(y, ["r", "s"]).filter(f"{apart_pair} AND {least} > 0 AND rank <= x_n - x_i - {shared} + least({shared}, {together}) AND {shared} <= y_n - y_i")
+    shares = x.join(y, ["r", "s"]).filter(f"{apart_pair} AND {least} > 0 AND rank <= x_n - x_i - {shared} + least({shared}, {together}) AND {shared} <= y_n - y_i AND {fits}")
     beyond = shares.groupBy("r", "x_id", "y_id", "x_n", "y_n", "x_i", "y_i", "x_text", "y_text").agg(F.count(F.lit(1)).alias("met"), F.first(F.expr(f"least({shared}, {together})")).alias("asked")).filter("met >= asked").select("x_id", "y_id")
 
     pairs = within.unionByName(beyond).select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")).distinct()
