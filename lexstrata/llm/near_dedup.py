@@ -32,6 +32,8 @@ from lexstrata.llm.components import components
 HOT_SHARE = 8
 #: 64-bit words of a bitmap.
 MARKS = 4
+#: Rows of the second round's sides that are broadcast at most.
+HELD_ROWS = 400_000
 #: Bytes of text that a task turns into arrays at once.
 SLICE = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -156,10 +158,10 @@ def bits(word: str, first: int = 0) -> str:
 def compared(docs: DataFrame, pairs: DataFrame, n_pairs: int | None = None, spell: bool = False, most: int = 256, words_in: int = 2) -> DataFrame:
     """For distinct candidates ``(a, b)`` the full sets' sizes and intersection: ``a, b, n_a, n_b, common``.
 
-    With ``spell``, also the shingles of ``a`` that ``b`` has not (``own``), with their
-    bitmap and that of the shingles of ``b`` that ``a`` has not (``marks``). Rows of a
-    ``b`` come as one sorted run, its own text first, so a task holds one set and
-    streams the others past it. A ``b`` of more than ``most`` partners is dealt over
+    With ``spell``, also the shingles that only one of the two has (``delta``), with the
+    bitmaps of those that only ``a`` has and of those that only ``b`` has (``marks``).
+    Rows of a ``b`` come as one sorted run, its own text first, so a task holds one set
+    and streams the others past it. A ``b`` of more than ``most`` partners is dealt over
     several runs. If the pairs are counted and few, their ids are broadcast to the
     texts; else both are shuffled by id.
     """
@@ -171,7 +173,7 @@ def compared(docs: DataFrame, pairs: DataFrame, n_pairs: int | None = None, spel
     roles = dealt.select(F.col("a").alias("doc_id"), "b", F.col("run").cast("long").alias("run"), F.lit(1).alias("part")).unionByName(heads.select(F.col("b").alias("doc_id"), "b", "run", F.lit(0).alias("part")))
     roles = roles.hint("merge") if n_pairs is None else maybe_broadcast(roles, 2 * n_pairs)
     rows = docs.select("doc_id", "text").join(roles, "doc_id").repartition("b", "run").sortWithinPartitions("b", "run", "part").select("doc_id", "b", "run", "part", "text")
-    names = ["a", "b", "n_a", "n_b", "common", "own", "marks"]
+    names = ["a", "b", "n_a", "n_b", "common", "delta", "marks"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own = None, np.zeros(0, np.uint64)
@@ -187,39 +189,43 @@ def compared(docs: DataFrame, pairs: DataFrame, n_pairs: int | None = None, spel
                         continue
                     at = np.minimum(np.searchsorted(own, shingles), max(len(own) - 1, 0))
                     both = own[at] == shingles if len(own) else np.zeros(len(shingles), bool)
-                    outside = marks = None
+                    delta = marks = None
                     if spell:
                         lost = np.ones(len(own), bool)
                         lost[at[both]] = False
-                        outside = shingles[~both].view(np.int64)
+                        delta = np.append(shingles[~both], own[lost]).view(np.int64)
                         marks = np.append(bitmap(shingles[~both]), bitmap(own[lost])).view(np.int64)
-                    found.append((ids[i], bs[i], len(shingles), len(own), int(both.sum()), outside, marks))
+                    found.append((ids[i], bs[i], len(shingles), len(own), int(both.sum()), delta, marks))
                 columns = list(zip(*found)) if found else [()] * 7
                 kinds = [piece.schema.field(0).type, piece.schema.field(1).type, pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = rows.mapInArrow(compare, f"a {kind}, b {kind}, n_a long, n_b long, common long, own array<long>, marks array<long>")
-    return out if spell else out.drop("own", "marks")
+    out = rows.mapInArrow(compare, f"a {kind}, b {kind}, n_a long, n_b long, common long, delta array<long>, marks array<long>")
+    return out if spell else out.drop("delta", "marks")
 
 
-def left_apart(docs: DataFrame, first: DataFrame, found: DataFrame, percent: int, together: int = 4, words_in: int = 2) -> DataFrame:
+def left_apart(docs: DataFrame, first: DataFrame, found: DataFrame, percent: int, words_in: int = 2) -> DataFrame:
     """Pairs ``(a, b)`` of bucket mates that are in different components and can still be similar.
 
     Mates met the same smallest document r; of two in different components, at least
-    one (x) is outside the component that most mates of r are in. Of their
-    intersection, at most min(|x & r|, |y & r|) lies in r. Either that alone can be
-    enough, which leaves x few sizes of partners (part of the join's key), or they
-    share at least t shingles that r has not: then, for any l up to t, the
-    |x - r| - t + l rarest such shingles of x hold l of y - r. A pair is judged by
-    the smallest r that both met. So a group's pairs are not enumerated: of a shingle's
-    holders, x and y meet only across components, and x only while its rank can still
-    count with the smallest set that could be similar to it.
-
-    Bitmaps bound both parts for a pair: x & y & r has at most as many shingles as r,
-    less the bits of what x or y miss of r; the rest at most those of x outside r, less
-    the bits that y's have not, and the other way round. A pair whose bounds rule the
-    similarity out is not made.
+    one (x) is outside the component that most mates of r are in. A mate is told by
+    its delta, the shingles that only it or only r has. Two sets of n and m shingles
+    are similar if at most (n + m) * (100 - percent) / (100 + percent) are in one of
+    them only, so the deltas of x and y have at least half of what their sizes sum to
+    over that in common (``shared``). This is at least one shingle, as one of the two is
+    not linked with r. So in any order of the shingles that x and y follow alike, one
+    of the first |delta| - shared + 1 of either delta is in both: only these meet. The
+    order is by rarity among the mates of r, those in one component alone before all
+    others. So mates do not meet by what most of them have changed, or by what r has
+    changed, and a mate with enough shingles of its own meets none. Sizes of deltas in
+    bands are part of the join's key, as the places that count are fewer the larger the
+    other delta is. A pair is judged by the smallest r that both met.
+
+    Bitmaps bound the intersection of a pair: x & y & r has at most as many shingles as
+    r, less the bits of what x or y miss of r; the rest at most those of x outside r,
+    less the bits that y's have not, and the other way round. A pair whose bounds rule
+    the similarity out is not made.
     """
     comp = found.select(F.col("node").alias("a"), "component")
     edges = first.select("a", "b").distinct().join(comp, "a", "left").withColumn("comp", F.coalesce("component", "a"))
@@ -231,40 +237,38 @@ def left_apart(docs: DataFrame, first: DataFrame, found: DataFrame, percent: int
     around = written(edges.join(maybe_broadcast(meet, n_meet), "b").select("a", "b", "comp", (F.col("comp") != F.col("major")).alias("odd")), "around")
     met = around.groupBy("a").agg(F.collect_set("b").alias("rs"))  # at most one for each table
     spelled = compared(docs, around.select("a", "b"), around.count(), spell=True, words_in=words_in).join(around.join(met, "a"), ["a", "b"])
-    spelled = spelled.select(F.col("a").alias("id"), F.col("b").alias("r"), F.col("n_a").alias("n"), F.col("n_b").alias("n_r"), F.col("common").alias("i"), "comp", "odd", "rs", "own", "marks", F.xxhash64("own").alias("text"))
-    spelled = written(spelled.dropDuplicates(["id", "r", "n", "i", "text"]), "spelled")  # rows that share an id: each of its sets once
-    side = lambda df, name, *more: df.select("r", *(F.col(k).alias(f"{name}_{k}") for k in ("id", "n", "n_r", "i", "comp", "rs", "marks", "text")), *more)
-    apart_pair = "x_id <> y_id AND x_comp <> y_comp AND array_min(array_intersect(x_rs, y_rs)) = r"
-    inside = f"least(x_i, y_i, x_n_r - {bits('x_marks[{k}] | y_marks[{k}]', MARKS)})"
-    outside = f"least(x_n - x_i - {bits('x_marks[{k}] & ~y_marks[{k}]')}, y_n - y_i - {bits('y_marks[{k}] & ~x_marks[{k}]')})"
-    fits = f"{100 + percent} * ({inside} + {outside}) >= {percent} * (x_n + y_n)"
-    least = f"{percent} * (x_n + y_n) - {100 + percent} * least(x_i, y_i)"  # over 0: as many shingles by (100 + percent) must be shared outside r
-
-    band = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(1.02)))
-    low = F.ceil(F.col("n") * percent / 100)
-    high = F.floor(F.col("i") * (100 + percent) / percent) - F.col("n")
-    x = spelled.filter("odd").withColumn("low", low).withColumn("high", high).filter("low <= high")
-    x = side(x, "x", F.explode(F.sequence(band(F.col("low")), band(F.col("high")))).alias("band"))
-    y = side(spelled, "y", band(F.col("n")).alias("band"))
-    within = x.join(y, ["r", "band"]).filter(f"{apart_pair} AND {least} <= 0 AND {fits}").select("x_id", "y_id")
-
-    loose = spelled.select("r", "id", "n", "n_r", "i", "comp", "rs", "marks", "text", "odd", F.explode("own").alias("s"))
+    spelled = spelled.select(F.col("a").alias("id"), F.col("b").alias("r"), F.col("n_a").alias("n"), F.col("n_b").alias("n_r"), F.col("common").alias("i"), F.expr("n_a + n_b - 2 * common").alias("d"), "comp", "odd", "rs", "marks", "delta", F.xxhash64("delta").alias("text"))
+    spelled = written(spelled.dropDuplicates(["id", "r", "text"]), "spelled")  # rows that share an id: each of its sets once
+
+    over, under = 100 + percent, 100 - percent
+    # the least that x and any y share, by |y's delta| >= ||y| - |r|| and by the triangle of x, y and r
+    least = f"greatest(ceil(({over} * d - {under} * (n + n_r)) / {2 * over}), ceil(d - n * {under} / {percent}), 1)"
+    loose = spelled.select("r", "id", "text", "comp", "d", F.expr(f"d - {least} + 1").alias("reach"), F.explode("delta").alias("s"))
     # holders are combined map-side; a shingle that only one component holds links nothing
     held = loose.groupBy("r", "s").agg(F.count(F.lit(1)).alias("holders"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2")
     held = written(held.select("r", "s", "holders"), "held")
-    crossing = maybe_broadcast(held, held.count())
-    # of x's shingles, those held by its own component alone come first in rank: no y of another component has them
-    own = Window.partitionBy("r", "id", "n", "i", "text")
-    ranked = loose.filter("odd").join(crossing, ["r", "s"]).withColumn("rank", F.col("n") - F.col("i") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("holders", "s")))
-    # what x must share outside r with the smallest y that can be similar; more than that only lowers the rank that counts
-    asks = f"greatest(ceil(({percent} * (n + ceil(n * {percent} / 100)) - {100 + percent} * i) / {100 + percent}), 1)"
-    x = side(ranked.filter(f"rank <= n - i - {asks} + least({asks}, {together})"), "x", "s", "rank")
-    y = side(loose.join(crossing.drop("holders"), ["r", "s"]), "y", "s")
-    shared = f"ceil(({least}) / {100 + percent})"
-    shares = x.join(y, ["r", "s"]).filter(f"{apart_pair} AND {least} > 0 AND rank <= x_n - x_i - {shared} + least({shared}, {together}) AND {shared} <= y_n - y_i AND {fits}")
-    beyond = shares.groupBy("r", "x_id", "y_id", "x_n", "y_n", "x_i", "y_i", "x_text", "y_text").agg(F.count(F.lit(1)).alias("met"), F.first(F.expr(f"least({shared}, {together})")).alias("asked")).filter("met >= asked").select("x_id", "y_id")
-
-    pairs = within.unionByName(beyond).select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")).distinct()
+    own = Window.partitionBy("r", "id", "text")
+    ranked = loose.drop("comp").join(maybe_broadcast(held, held.count(), HELD_ROWS), ["r", "s"])
+    ranked = ranked.withColumn("rank", F.col("d") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("holders", "s")))
+    ranked = written(ranked.filter("rank <= reach").select("r", "id", "text", "s", "rank"), "ranked")
+
+    # for each band of the other's |delta| that can be similar, the places that count against it
+    wide = f"greatest({under} * n_r div {over}, 1)"
+    most = f"least(floor(n * 100 / {percent}), n_r + (k + 1) * {wide} - 1)"
+    place = f"d + 1 - greatest(ceil(({over} * (d + k * {wide}) - {under} * (n + {most})) / {2 * over}), 1)"
+    bands = f"filter(sequence(greatest(ceil(d - n * {under} / {percent}), 0) div {wide}, floor(d + n * {under} / {percent}) div {wide}), k -> rank <= {place})"
+    columns = ("id", "n", "n_r", "i", "d", "comp", "odd", "rs", "marks", "rank")
+    members = spelled.drop("delta")
+    members = ranked.join(maybe_broadcast(members, members.count(), HELD_ROWS), ["r", "id", "text"])
+    side = lambda df, name, band, other: df.select("r", "s", F.expr(f"d div {wide}").alias(band), *(F.col(k).alias(f"{name}_{k}") for k in columns), F.explode(F.expr(bands)).alias(other))
+    once = "x_comp <> y_comp AND (NOT y_odd OR x_id < y_id) AND array_min(array_intersect(x_rs, y_rs)) = r"
+    shared = f"ceil(({over} * (x_d + y_d) - {under} * (x_n + y_n)) / {2 * over})"
+    inside = f"least(x_i, y_i, x_n_r - {bits('x_marks[{k}] | y_marks[{k}]', MARKS)})"
+    outside = f"least(x_n - x_i - {bits('x_marks[{k}] & ~y_marks[{k}]')}, y_n - y_i - {bits('y_marks[{k}] & ~x_marks[{k}]')})"
+    fits = f"{over} * ({inside} + {outside}) >= {percent} * (x_n + y_n)"
+    pairs = side(members.filter("odd"), "x", "x_band", "y_band").join(side(members, "y", "y_band", "x_band"), ["r", "s", "x_band", "y_band"])
+    pairs = pairs.filter(f"greatest(x_rank - x_d, y_rank - y_d) <= 1 - {shared} AND {once} AND {fits}")
+    pairs = pairs.select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")).distinct()
     return pairs.join(first, ["a", "b"], "left_anti")
 
 

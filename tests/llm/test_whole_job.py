@@ -80,6 +80,26 @@ def test_second_round_with_repeated_rows(spark):
         assert [tuple(r) for r in left_apart(docs, first, apart, 80).collect()] == [(2, 1)], times
 
 
+def test_second_round_of_a_large_group(spark):
+    """Long mates of one document that share what it has changed are not all paired; those that are similar are."""
+    rng = np.random.default_rng(11)
+    base = np.array([f"w{i}" for i in range(2000)], object)
+
+    def edited(of, name, n):
+        out = of.copy()
+        out[rng.choice(2000, n, replace=False)] = [f"{name}_{i}" for i in range(n)]
+        return out
+
+    own = {k: edited(base, f"e{k}", 109 if k else 100) for k in range(41)}
+    own |= {100 + k: edited(own[k], f"n{k}", 20) for k in (7, 23)}
+    docs = spark.createDataFrame([(k, " ".join(words)) for k, words in own.items()], "doc_id long, text string")
+    pairs = spark.createDataFrame([(k, 0) for k in own if k], "a long, b long")
+    first = compared(docs, pairs)
+    assert first.filter("100 * common >= 80 * (n_a + n_b - common)").count() == 0
+    made = {tuple(r) for r in left_apart(docs, first, spark.createDataFrame([], "node long, component long"), 80).collect()}
+    assert {(107, 7), (123, 23)} <= made and len(made) <= 2 * len(own)  # of 903 pairs
+
+
 def test_exact_dedup_spreads_null_ids(spark):
     """A hot text whose rows all have null ids is dealt over the salts; colliding digests too."""
     df = spark.createDataFrame([(None, "hot")] * 300 + [(7, "hot"), (8, "x"), (None, "y"), (None, "y")], "doc_id long, text string")
