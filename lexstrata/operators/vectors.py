@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from lexstrata.functions.arrays import let
 from lexstrata.sources.shared import dropped, saved, small
 
+#: Rows of a block of the similarity join; a task multiplies two blocks.
+BLOCK = 8192
+#: A row's side in such a task: in a block compared with another, or with itself.
+_LEFT, _ALONE, _RIGHT = 0, 1, 2
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -33,19 +38,100 @@ def top_k(rows: DataFrame, query: Column, k: int, vector: str = "embedding", gro
     return out.orderBy(F.desc("sim"), tie).limit(k)
 
 
-def echo_edges(rows: DataFrame, threshold: float, window: int = 14, key: str = "vec_id", day: str = "day", group: str = "country", vector: str = "embedding") -> DataFrame:
+def echo_edges(rows: DataFrame, threshold: float, window: int = 14, key: str = "vec_id", day: str = "day", group: str = "country", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
     """``i, j, sim`` (i < j): other group, at most ``window`` days apart, cosine at least ``threshold``.
 
-    A range join as an equi-join: the later row's day bucket (of ``window`` days) and
-    the one before it hold every partner, so only rows of neighbouring buckets meet.
+    Every partner of a row is in its bucket of ``window`` days or a neighbouring one.
+    Buckets are cut into blocks of about ``block`` rows by hash, and a task is a pair of
+    blocks: it holds these two and a tile of their products, whatever the table's size.
+    Single-precision matrix products leave out the pairs that are surely below the
+    threshold; the others are computed in double precision. Rows with nulls have no
+    edge. The driver reads a row for each bucket.
     """
-    own = rows.select(F.col(key).alias("i"), F.col(day).alias("d"), F.col(group).alias("g"), unit(F.col(vector)).alias("v"), F.floor(F.col(day) / window).alias("b"))
-    near = own.select("i", "d", "g", "v", F.explode(F.array("b", F.col("b") + 1)).alias("b"))
-    left, right = own.alias("l"), near.alias("r")
-    ordered = (F.col("r.d") < F.col("l.d")) | ((F.col("r.d") == F.col("l.d")) & (F.col("r.i") < F.col("l.i")))
-    pairs = left.join(right, (F.col("l.b") == F.col("r.b")) & ordered & (F.col("l.d") - F.col("r.d") <= window) & (F.col("l.g") != F.col("r.g")))
-    pairs = pairs.select(F.least("l.i", "r.i").alias("i"), F.greatest("l.i", "r.i").alias("j"), dot(F.col("l.v"), F.col("r.v")).alias("sim"))
-    return pairs.filter(F.col("sim") >= threshold)
+    own = rows.select(F.col(key).alias("i"), F.col(day).cast("double").alias("d"), F.col(group).alias("g"), F.col(vector).alias("v"), F.floor(F.col(day) / window).alias("b"))
+    own = own.filter(F.col("i").isNotNull() & F.col("d").isNotNull() & F.col("g").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull())).withColumn("n", F.size("v"))
+    blocks = {(r["n"], r["b"]): -(-r["count"] // block) for r in own.groupBy("n", "b").count().collect()}
+    half = lambda k: k * (k + 1) // 2
+    begins, tasks = {}, 0
+    for (n, b), k in sorted(blocks.items()):
+        begins[n, b] = tasks
+        tasks += half(k) + k * blocks.get((n, b - 1), 0)
+    # per bucket: its blocks, its first task, the blocks before and after it, the first task with the bucket after it
+    plan = [(n, b, k, begins[n, b], blocks.get((n, b - 1), 0), blocks.get((n, b + 1), 0), begins.get((n, b + 1), 0) + half(blocks.get((n, b + 1), 0))) for (n, b), k in sorted(blocks.items())]
+    plan = rows.sparkSession.createDataFrame(plan, "n int, b long, k long, t long, before long, after long, t_after long")
+    own = own.join(small(plan), ["n", "b"]).withColumn("p", F.pmod(F.xxhash64("i", "d", "g", "v"), F.col("k")))
+    k, p, t = F.col("k"), F.col("p"), F.col("t")
+    at = lambda task, side: F.struct(task.cast("long").alias("task"), side.alias("side"))
+    below = lambda end: F.filter(F.sequence(F.lit(0).cast("long"), end), lambda x: x < end)
+    pair = lambda a, b: t + F.floor(b * (b + 1) / 2) + a
+    places = F.concat(
+        F.transform(F.sequence(p, k - 1), lambda q: at(pair(p, q), F.when(q == p, _ALONE).otherwise(_LEFT))), F.transform(below(p), lambda q: at(pair(q, p), F.lit(_RIGHT))),
+        F.transform(below(F.col("before")), lambda q: at(t + F.floor(k * (k + 1) / 2) + p * F.col("before") + q, F.lit(_LEFT))),
+        F.transform(below(F.col("after")), lambda q: at(F.col("t_after") + q * k + p, F.lit(_RIGHT))),
+    )
+    parts = max(1, min(tasks, 1000))
+    dealt = own.select("i", "d", "g", "v", F.inline(places)).repartitionById(parts, F.pmod(F.col("task"), F.lit(parts)).cast("int")).sortWithinPartitions("task", "side")
+    kind = dict(own.dtypes)["i"]
+    pairs = dealt.mapInArrow(_near_pairs(threshold, window), f"l {kind}, r {kind}, sim double")
+    return pairs.filter("l <> r").select(F.least("l", "r").alias("i"), F.greatest("l", "r").alias("j"), "sim")
+
+
+def _near_pairs(threshold: float, window: float, tile: int = 1024, piece: int = 1 << 16):
+    """Of batches ``i, d, g, v, task, side`` sorted by task and side: ``l, r, sim`` of each task's pairs. A left block is held, right rows pass by."""
+
+    class Rows:
+        def __init__(self, parts: list[pa.RecordBatch]):
+            of = lambda name: pa.concat_arrays([x.column(name) for x in parts])
+            self.ids, self.groups, self.days = of("i"), of("g"), of("d").to_numpy(zero_copy_only=False)
+            x = _matrix(of("v"))
+            length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            self.exact = np.divide(x, length, out=x.copy(), where=~(length == 0))
+            self.rough = self.exact.astype(np.float32)
+
+    def pairs(a: Rows, b: Rows, alone: bool) -> Iterator[pa.RecordBatch]:
+        codes = pa.concat_arrays([a.groups, b.groups]).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        ga, gb = codes[: len(a.days)], codes[len(a.days) :]
+        least = np.float32(threshold - (a.rough.shape[1] + 8) * 2.0**-22)  # a product of unit vectors is that exact in single precision
+        for at in range(0, len(a.days), tile):
+            x, y = np.nonzero(~(a.rough[at : at + tile] @ b.rough.T < least))  # NaN stays, as in SQL
+            x += at
+            keep = (ga[x] != gb[y]) & (np.abs(a.days[x] - b.days[y]) <= window)
+            if alone:
+                keep &= x < y
+            x, y = x[keep], y[keep]
+            for k in range(0, len(x), piece):
+                u, w = x[k : k + piece], y[k : k + piece]
+                sims = (a.exact[u] * b.exact[w]).sum(axis=1)
+                ok = ~(sims < threshold)
+                yield pa.RecordBatch.from_arrays([a.ids.take(pa.array(u[ok])), b.ids.take(pa.array(w[ok])), pa.array(sims[ok])], names=["l", "r", "sim"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, alone, parts, held = None, False, [], None
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            """A block that is compared with itself."""
+            if alone:
+                own = Rows(parts)
+                yield from pairs(own, own, True)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("task", "side")]
+            cuts = [0, *(np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if now[0][a] != task:
+                    yield from settled()
+                    task, alone, parts, held = now[0][a], False, [], None
+                if now[1][a] != _RIGHT:
+                    alone = now[1][a] == _ALONE
+                    parts.append(batch.slice(a, b - a))
+                elif parts:
+                    held = held or Rows(parts)
+                    yield from pairs(held, Rows([batch.slice(a, b - a)]), False)
+        yield from settled()
+
+    return run
 
 
 def components(edges: DataFrame, src: str = "i", dst: str = "j", most_rounds: int = 50) -> DataFrame:
@@ -75,9 +161,10 @@ def components(edges: DataFrame, src: str = "i", dst: str = "j", most_rounds: in
 
 def cluster_summary(members: DataFrame, edges: DataFrame) -> DataFrame:
     """Per component: size, countries in first-seen order (by day, then id), first and last day, span, largest similarity."""
-    rows = members.groupBy("component").agg(
-        F.count(F.lit(1)).alias("size"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("day", "node", "country"))), lambda x: x["country"])).alias("countries"),
-        F.min("day").alias("first_day"), F.max("day").alias("last_day"),
+    seen = members.groupBy("component", "country").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("day", "node")).alias("at"), F.max("day").alias("last"))
+    rows = seen.groupBy("component").agg(
+        F.sum("k").alias("size"), F.transform(F.array_sort(F.collect_list(F.struct("at", "country"))), lambda x: x["country"]).alias("countries"),
+        F.min("at.day").alias("first_day"), F.max("last").alias("last_day"),
     )
     best = edges.join(members.select(F.col("node").alias("i"), "component"), "i").groupBy("component").agg(F.max("sim").alias("max_sim"))
     return rows.join(best, "component").withColumn("span", F.col("last_day") - F.col("first_day"))

@@ -9,6 +9,7 @@ from lexstrata.operators import vectors as V
 from lexstrata.operators.series import period_of
 from lexstrata.plans.registry import query, table
 from lexstrata.plans.trends import _TONE_SQL, doc_frame
+from lexstrata.sources.shared import saved
 from lexstrata.sources.testdata import DOCS_SQL, docs
 
 
@@ -58,7 +59,7 @@ b AS (SELECT component, max(sim) AS max_sim FROM edges JOIN comp ON i = node GRO
 SELECT component, size, countries, first_day, last_day, span, round(max_sim, 6) AS max_sim FROM s JOIN l USING (component) JOIN b USING (component)""")
 def emb_echo_clusters(spark, sf_dir):
     v = vecs(spark, sf_dir)
-    edges = V.echo_edges(v, 0.35)
+    edges = saved(V.echo_edges(v, 0.35), "edges")
     members = V.components(edges).join(v.select(F.col("vec_id").alias("node"), "day", "country"), "node")
     return V.cluster_summary(members, edges).select("component", "size", F.array_join("countries", ">").alias("countries"), "first_day", "last_day", "span", F.round("max_sim", 6).alias("max_sim"))
 

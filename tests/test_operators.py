@@ -362,3 +362,27 @@ def test_verbatim(spark):
     docs = spark.createDataFrame([(1, "xx one two three four yy"), (2, "one two"), (3, "none")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "ne two three fo"), (2, "one two"), (3, ""), (4, None), (5, "zz two three four")], "item_id long, needle string")
     assert sorted(map(tuple, search.verbatim(docs, items).collect())) == [(1, 1), (1, 2), (2, 2)]
+
+
+def test_echo_edges_of_many_blocks(spark):
+    """Tasks are pairs of blocks of bounded size; rows with nulls have no edge."""
+    import numpy as np
+
+    n, rng = 90, np.random.default_rng(3)
+    e = rng.normal(size=(n, 5)).astype("float32")
+    e[7] = 0
+    rows = [(i, i * 7 % 40, f"c{i % 3}", [float(x) for x in e[i]]) for i in range(n)] + [(900, 3, None, [1.0] * 5), (901, None, "c1", [1.0] * 5), (902, 3, "c1", None), (903, 3, "c1", [1.0, None, 1.0, 1.0, 1.0]), (904, 3, "c9", [1.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, day int, country string, embedding array<float>")
+    got = {(r.i, r.j): r.sim for r in vectors.echo_edges(df, 0.5, block=8).collect()}
+    unit = e.astype("float64") / np.maximum(np.linalg.norm(e.astype("float64"), axis=1, keepdims=True), 1e-300)
+    sims = unit @ unit.T
+    want = {(i, j): sims[i, j] for i in range(n) for j in range(i + 1, n) if i % 3 != j % 3 and abs(i * 7 % 40 - j * 7 % 40) <= 14 and sims[i, j] >= 0.5}
+    assert len(got) > 100 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert vectors.echo_edges(df.limit(0), 0.5).count() == 0
+
+
+def test_cluster_summary_orders_countries(spark):
+    members = spark.createDataFrame([(1, 1, 5, "b"), (2, 1, 5, "a"), (3, 1, 2, "c"), (4, 1, 9, "b")], "node long, component long, day int, country string")
+    edges = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.7), (3, 4, 0.6)], "i long, j long, sim double")
+    r = vectors.cluster_summary(members, edges).first()
+    assert (r["size"], r["countries"], r["first_day"], r["last_day"], r["span"], r["max_sim"]) == (4, ["c", "b", "a"], 2, 9, 7, 0.7)
