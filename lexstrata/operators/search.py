@@ -288,14 +288,17 @@ def plan_query(query: str, stem: Stem | None = None) -> Plan:
     return Plan(route(tree), tree)
 
 
-def token_index(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def token_index(docs: DataFrame, key: str = "doc_id", tokens: Sequence[str] | None = None) -> DataFrame:
     """The index over titles and texts, written to the shared folder: ``token, doc, tf`` and, under the empty token, each document's length.
 
     One pass over the texts. A document's terms are combined by the task that reads
     it; (token, document) deals the rest, so frequent tokens are spread. Files hold
-    sorted tokens, so a query's tokens prune pages by their statistics.
+    sorted tokens, so a query's tokens prune pages by their statistics. With
+    ``tokens``, only rows of these and the lengths leave the pass: what one query
+    needs, without a shuffle of every token.
     """
-    one = F.transform("t", lambda x: F.struct(x.alias("token"), F.lit(1).cast("long").alias("k")))
+    wanted = F.col("t") if tokens is None else F.filter("t", lambda x: x.isin(list(tokens)))
+    one = F.transform(wanted, lambda x: F.struct(x.alias("token"), F.lit(1).cast("long").alias("k")))
     size = F.array(F.struct(F.lit("").alias("token"), F.size("t").cast("long").alias("k")))
     rows = docs.select(F.col(key).alias("doc"), index_terms(F.concat_ws("\n", "title", "text")).alias("t")).select("doc", F.inline(F.concat(size, one)))
     counts = rows.groupBy("token", "doc").agg(F.sum("k").alias("tf"))

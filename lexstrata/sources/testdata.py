@@ -32,14 +32,14 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _INDEXES: dict[tuple, DataFrame] = {}
 
 
-def docs_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The token index of ``docs``: built once for a session and the same input files, then read by every search."""
+def docs_index(spark: SparkSession, sf_dir: str, tokens: tuple[str, ...] | None = None) -> DataFrame:
+    """The token index of ``docs`` (of these tokens only, if given): built once for a session and the same input files."""
     from lexstrata.operators.search import token_index
     from lexstrata.sources.shared import stamps
 
-    key = (spark.sparkContext.applicationId, sf_dir, stamps(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    key = (spark.sparkContext.applicationId, sf_dir, stamps(spark.read.parquet(f"{sf_dir}/documents.parquet")), tokens)
     if key not in _INDEXES:
-        _INDEXES[key] = token_index(docs(spark, sf_dir))
+        _INDEXES[key] = token_index(docs(spark, sf_dir), tokens=tokens)
     return _INDEXES[key]
 
 
