@@ -5,11 +5,10 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 FIELDS = ("title", "date", "text", "speaker", "section")
@@ -49,18 +48,38 @@ def general(page: str) -> dict:
     paras = [p for p in map(_plain, re.split(r"(?i)</?p\b[^>]*>", body)) if p]
     author = ld.get("author")
     return {
-        "title": _plain(title) if title else None, "date": str(date)[:10] if date else None, "text": "\n".join(paras), "section": ld.get("articleSection") if isinstance(ld.get("articleSection"), str) else None,
+        "title": _plain(str(title)) if title else None, "date": str(date)[:10] if date else None, "text": "\n".join(paras), "section": ld.get("articleSection") if isinstance(ld.get("articleSection"), str) else None,
         "speaker": author.get("name") if isinstance(author, dict) else author if isinstance(author, str) else None,
     }
 
 
-def parse_pages(pages: DataFrame, site: str | None = None, page: str = "html", parsers: dict[str, Parser] | None = None) -> DataFrame:
-    """Adds ``parsed``, a struct of ``FIELDS``, by the parser of the column ``site``; null pages give nulls."""
-    table = {**PARSERS, **(parsers or {})}
-
-    @F.pandas_udf(StructType([StructField(f, StringType()) for f in FIELDS]))
-    def run(sites: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        rows = [table.get(s, general)(t) if t else {} for s, t in zip(sites, texts)]
-        return pd.DataFrame([[r.get(f) for f in FIELDS] for r in rows], columns=list(FIELDS), dtype=object)
+def parse_pages(pages: DataFrame, site: str | None = None, page: str = "html", parsers: dict[str, Parser] | None = None, piece: int = 4 << 20) -> DataFrame:
+    """Adds ``parsed``, a struct of ``FIELDS``, by the parser of the column ``site``; null pages give nulls.
 
-    return pages.withColumn("parsed", run(F.col(site) if site else F.lit("general"), F.col(page)))
+    A worker holds one Arrow batch and the parsed fields of about ``piece`` characters
+    of pages (a single page at least), which it hands on before it parses more.
+    """
+    table = {**PARSERS, **(parsers or {})}
+    names = pages.columns
+    kind = pa.struct([(f, pa.string()) for f in FIELDS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(batch: pa.RecordBatch, begin: int, found: list[dict]) -> pa.RecordBatch:
+            parsed = pa.array(found, kind)
+            return pa.RecordBatch.from_arrays([*batch.slice(begin, len(found)).columns, parsed], names=[*names, "parsed"])
+
+        for batch in batches:
+            texts, begin, held, found = batch.column(names.index(page)), 0, 0, []
+            sites = batch.column(names.index(site)) if site else None
+            for k in range(batch.num_rows):
+                text = texts[k].as_py()
+                own = table.get(sites[k].as_py() if site else "general", general)(text) if text else {}
+                found.append({f: x if (x := own.get(f)) is None or isinstance(x, str) else str(x) for f in FIELDS})
+                held += len(text or "")
+                if held >= piece:
+                    yield of(batch, begin, found)
+                    begin, held, found = k + 1, 0, []
+            if found:
+                yield of(batch, begin, found)
+
+    return pages.mapInArrow(run, StructType([*pages.schema.fields, StructField("parsed", StructType([StructField(f, StringType()) for f in FIELDS]))]))

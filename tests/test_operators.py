@@ -386,3 +386,22 @@ def test_cluster_summary_orders_countries(spark):
     edges = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.7), (3, 4, 0.6)], "i long, j long, sim double")
     r = vectors.cluster_summary(members, edges).first()
     assert (r["size"], r["countries"], r["first_day"], r["last_day"], r["span"], r["max_sim"]) == (4, ["c", "b", "a"], 2, 9, 7, 0.7)
+
+
+def test_parse_pages_in_pieces(spark):
+    """Rows, order and nulls survive however a batch is cut; values that are no text become text."""
+    from lexstrata.operators.parsers import parse_pages
+
+    pages = [(k, None if k == 5 else "" if k == 6 else f"<title>t{k}</title><p>{'x' * k}</p>") for k in range(40)] + [(40, '<script type="application/ld+json">{"headline": 7, "author": {"name": 8}}</script>')]
+    df = spark.createDataFrame(pages, "page_id long, html string").coalesce(1)
+    got = {r.page_id: r.parsed for r in parse_pages(df, piece=60).collect()}
+    assert len(got) == 41 and all(got[k].title == f"t{k}" and got[k].text == f"t{k}" + f"\n{'x' * k}" * bool(k) for k in range(40) if k not in (5, 6))
+    assert set(got[5]) == set(got[6]) == {None} and (got[40].title, got[40].speaker) == ("7", "8")
+
+
+def test_token_index_of_some_tokens(spark):
+    docs = spark.createDataFrame([(1, "Apache", "apache License of 1"), (2, "t", "licensé, license"), (3, "", None)], "doc_id long, title string, text string")
+    rows = {(r.token, r.doc): r.tf for r in search.token_index(docs, tokens=["license", "apache"]).collect()}
+    assert rows == {("", 1): 5, ("", 2): 3, ("", 3): 0, ("apache", 1): 2, ("license", 1): 1, ("license", 2): 2}
+    whole = {(r.token, r.doc): r.tf for r in search.token_index(docs).collect()}
+    assert rows == {k: v for k, v in whole.items() if k[0] in ("", "license", "apache")}
