@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexstrata.functions.arrays import let
 from lexstrata.functions.text import bucket_of, index_terms
 from lexstrata.sources.shared import saved, small
 
@@ -65,24 +66,37 @@ def shard_summary(docs: DataFrame, shard: str) -> DataFrame:
     return docs.groupBy(shard).agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_set("lang")).alias("langs"))
 
 
+def counted(terms: Column) -> Column:
+    """``array<struct<token, c>>``: how often each token occurs in an array of them."""
+
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i < F.size(s)) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))))
+        return let(begins, lambda b: F.transform(b, lambda at, k: F.struct(F.get(s, at).alias("token"), (F.coalesce(F.get(b, k + 1), F.size(s)) - at).cast("long").alias("c"))))
+
+    return let(F.sort_array(terms), runs)
+
+
 def document_postings(docs: DataFrame, key: str, common: float = 0.3, text: str = "text", title: str = "title", block: int | None = None) -> DataFrame:
     """``token, n, posts``: sorted (document, count); a token of more than ``common`` of the documents gets n = -1 and none.
 
-    Texts are read once: counts by (token, document) are written to the shared folder,
-    and document frequencies and lists come from them. Common tokens are taken out
+    Texts are read once: a row's tokens are counted in the row, which needs no shuffle of
+    every token. Counts are written to the shared folder, and document frequencies and
+    lists come from them. Common tokens are taken out
     before lists are gathered. With ``block``, a list is cut into rows of at most
     ``block`` documents (column ``block``, from 0), each made by a task of its own,
     so no list grows with the corpus.
     """
-    rows = docs.select(F.col(key).alias("doc"), F.explode(index_terms(F.concat_ws("\n", title, text))).alias("token"))
-    tf = saved(rows.groupBy("token", "doc").agg(F.count(F.lit(1)).alias("c")), "postings")
+    tf = docs.select(F.col(key).alias("doc"), F.inline(counted(index_terms(F.concat_ws("\n", title, text)))))
+    if docs.groupBy(key).count().filter("count > 1").limit(1).count():  # a document in several rows
+        tf = tf.groupBy("token", "doc").agg(F.sum("c").alias("c"))
+    tf = saved(tf.select("token", "doc", "c"), "postings")
     df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     total = docs.count()
     often = df.filter(F.col("n") > total * common).select("token")
     rare = tf.join(small(often), "token", "left_anti")
     post = F.struct("doc", "c")
     if block is None:
-        lists = rare.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(post)).alias("posts"))
+        lists = rare.repartition("token").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(post)).alias("posts"))
     else:
         cuts = df.filter(F.col("n") <= total * common).filter(F.col("n") > block).select("token", "n")
         wide = rare.join(small(cuts), "token", "left").withColumn("__b", F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") * 2 / block))))

@@ -405,3 +405,11 @@ def test_token_index_of_some_tokens(spark):
     assert rows == {("", 1): 5, ("", 2): 3, ("", 3): 0, ("apache", 1): 2, ("license", 1): 1, ("license", 2): 2}
     whole = {(r.token, r.doc): r.tf for r in search.token_index(docs).collect()}
     assert rows == {k: v for k, v in whole.items() if k[0] in ("", "license", "apache")}
+
+
+def test_postings_count_in_rows(spark):
+    assert one(spark, ["b", "a", "b"], lambda c: F.array_sort(publish.counted(c)), "array<string>") == [("a", 1), ("b", 2)]
+    assert one(spark, [], publish.counted, "array<string>") == []
+    docs = spark.createDataFrame([(1, "x", "y x"), (2, "y", "z"), (1, "", "x"), (3, "", None)], "doc_id long, title string, text string")
+    got = {r.token: (r.n, [tuple(p) for p in r.posts]) for r in publish.document_postings(docs, "doc_id", common=0.9).collect()}
+    assert got == {"x": (1, [(1, 3)]), "y": (2, [(1, 1), (2, 1)]), "z": (1, [(2, 1)])}
